@@ -7,18 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.near_dup import near_duplicates
+from tidemark.llm.packing import pack
+from tidemark.llm.token_store import read_tokens, write_tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op7_token_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(_documents(spark, sf_dir), end_id=0))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), end_id=2, with_ids=False).drop("ids")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), k=4, threshold=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {
+        "op7_token_bit_packing": op7_token_bit_packing,
+        "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
