@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.mixing import mix_documents
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.token_store import read_tokens, write_tokens
@@ -15,6 +16,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_documents(_documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op7_token_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(_documents(spark, sf_dir), end_id=0))
 
@@ -29,6 +35,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_source_mixing": op2_source_mixing,
         "op7_token_bit_packing": op7_token_bit_packing,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
