@@ -38,3 +38,19 @@ def near_dups(rows: list[tuple[int, str | None]], k: int, threshold: int = 80) -
     for i, (doc_id, _) in enumerate(rows):
         least[root(i)] = min(least.get(root(i), doc_id), doc_id)
     return sorted((d, len(sets[i]), least[root(i)], d == least[root(i)]) for i, (d, _) in enumerate(rows))
+
+
+def line_base(text: str | None) -> tuple[int, ...]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    w = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    places: dict[tuple, list[int]] = {}
+    for i in range(len(w) - 7):
+        places.setdefault(tuple(w[i : i + 8]), []).append(i)
+    hit = {i + j for at in places.values() if len(at) > 1 for i in at for j in range(8)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)

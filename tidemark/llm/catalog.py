@@ -6,21 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.line_quality import clean_documents
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.token_store import read_tokens, write_tokens
+from tidemark.llm.toxicity import score_toxicity, train
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model).drop("text")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_documents(_documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_documents(_documents(spark, sf_dir).select("doc_id", "text")).drop("text", "cleaned")
+
+
 def op7_token_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(_documents(spark, sf_dir), end_id=0))
 
@@ -35,7 +47,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity_ordinal": op1_toxicity_ordinal,
         "op2_source_mixing": op2_source_mixing,
+        "op3_line_quality": op3_line_quality,
         "op7_token_bit_packing": op7_token_bit_packing,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
