@@ -1,7 +1,7 @@
 """Near-duplicate groups by banded MinHash with odd sketches, confirmed on full shingle sets.
 
-1. Every text becomes its set of k-word shingles (64-bit hashes), 128 MinHash samples of it, 32 band
-   keys of four samples each, and an odd sketch: the samples folded into 1024 parity bits. The XOR of
+1. Every text becomes its set of k-word shingles (64-bit hashes), 1024 MinHash samples of it, 32 band
+   keys of four samples each, and an odd sketch: the samples folded into 2048 parity bits. The XOR of
    two odd sketches has a population count from which the number of differing samples follows, and
    with it the similarity, most precisely where it is high.
 2. Equal sets collapse into a class. Classes that share a band key are candidates: at a similarity of
@@ -31,25 +31,30 @@ from tidemark.llm._graph import components
 from tidemark.llm._store import Store
 from tidemark.llm._words import Words, mix, shingle_sets, slices, texts_of
 
-BANDS, ROWS, BITS = 32, 4, 1024
-SAMPLES = BANDS * ROWS
+BANDS, ROWS, BITS, SAMPLES = 32, 4, 2048, 1024
 BLOCK = 2048
-#: Standard deviations of the sampling error that a sketch may be off before it rules a pair out.
+#: Standard deviations that a sketch may be off before it rules a pair out.
 SLACK = 4.5
 _U = np.uint64
 _rng = np.random.default_rng(8191)
-_XOR = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
-_MUL = _rng.integers(0, 2**62, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
+_XOR = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
+_MUL = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 SKETCH_SCHEMA = "doc_id long, n_shingles long, fp1 long, fp2 long, keys binary, sketch binary"
 
 
 def max_xor(threshold: float) -> float:
-    """The XOR population count above which a pair is taken to lie under ``threshold``."""
-    low = max(0.05, threshold - SLACK * np.sqrt(threshold * (1 - threshold) / SAMPLES))
-    apart = 2 * SAMPLES * (1 - low)
-    mean = BITS / 2 * (1 - (1 - 2 / BITS) ** apart)
-    return float(mean + 3 * np.sqrt(mean * (1 - mean / BITS)) * np.sqrt(apart / BITS))
+    """The XOR population count above which a pair is taken to lie under ``threshold``.
+
+    At the threshold the samples differ in a binomial number of places, two sketched values each; the
+    parities of d values in BITS bits have mean BITS/2 * (1 - (1 - 2/BITS)^d) and a variance of their own.
+    """
+    apart = 2 * SAMPLES * (1 - threshold)
+    slope = (1 - 2 / BITS) ** apart
+    mean, load = BITS / 2 * (1 - slope), apart / BITS
+    share = mean / BITS
+    own = BITS * share * (1 - share) - BITS * load * np.exp(-4 * load)
+    return float(mean + SLACK * np.sqrt(own + slope**2 * 4 * SAMPLES * threshold * (1 - threshold)))
 
 
 def sketch_slice(texts: list[bytes], k: int) -> tuple[np.ndarray, ...]:
@@ -65,16 +70,19 @@ def sketch_slice(texts: list[bytes], k: int) -> tuple[np.ndarray, ...]:
         at = bounds[:-1][some]
         fp1[some] = np.add.reduceat(mix(sets), at)
         fp2[some] = np.bitwise_xor.reduceat(mix(sets + _U(0x9E3779B97F4A7C15)), at)
-        low = np.empty((len(some), SAMPLES), dtype=np.uint64)
+        low = np.empty((SAMPLES, len(some)), dtype=np.uint32)
+        half, work = (sets >> _U(32)).astype(np.uint32), np.empty(len(sets), dtype=np.uint32)
         for i in range(SAMPLES):
-            low[:, i] = np.minimum.reduceat((sets ^ _XOR[i]) * _MUL[i], at)
-        low = mix(low + np.arange(SAMPLES, dtype=np.uint64))
-        band = low.reshape(len(some), BANDS, ROWS)
+            np.bitwise_xor(half, _XOR[i], out=work)
+            np.multiply(work, _MUL[i], out=work)
+            np.minimum.reduceat(work, at, out=low[i])
+        low = mix(low.T.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << _U(32)))
+        band = low[:, : BANDS * ROWS].reshape(len(some), BANDS, ROWS)
         joint = band[:, :, 0].copy()
         for r in range(1, ROWS):
             joint = mix(joint * _U(3) + band[:, :, r])
         keys[some] = joint
-        where = (some[:, None] * BITS + (low >> _U(54)).astype(np.int64)).ravel()
+        where = (some[:, None] * BITS + (low >> _U(64 - BITS.bit_length() + 1)).astype(np.int64)).ravel()
         bits = (np.bincount(where, minlength=n * BITS) & 1).astype(bool).reshape(n, BITS)
     return sizes, fp1.view(np.int64), fp2.view(np.int64), keys, np.packbits(bits, axis=1)
 
@@ -142,7 +150,7 @@ def _unit_pairs(label, n, sk, side, mode: str, most: float, threshold: int, cros
     """Pairs of one unit, as index arrays. cross: only between the two sides."""
     out_i, out_j = [], []
     m = len(label)
-    step = max(1, (1 << 21) // max(1, m * 16))
+    step = max(1, (1 << 18) // max(1, m * BITS // 64))
     for s in range(0, m, step):
         rows = np.arange(s, min(m, s + step))
         differ = label[rows][:, None] != label[None, :]
@@ -183,7 +191,7 @@ def _comparer(mode: str, most: float, threshold: int):
         for size in np.unique(sizes[(sizes > 1) & (sizes <= 24)]):  # small units together, by size
             i, j = np.triu_indices(size, 1)
             some = starts[sizes == size]
-            chunk = max(1, (1 << 17) // len(i))
+            chunk = max(1, (1 << 14) // len(i))
             for c in range(0, len(some), chunk):
                 x = (some[c : c + chunk, None] + i[None, :]).ravel()
                 y = (some[c : c + chunk, None] + j[None, :]).ravel()
