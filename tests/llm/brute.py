@@ -54,3 +54,13 @@ def line_base(text: str | None) -> tuple[int, ...]:
         places.setdefault(tuple(w[i : i + 8]), []).append(i)
     hit = {i + j for at in places.values() if len(at) > 1 for i in at for j in range(8)}
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)
+
+
+def base_secrets(text: str | None) -> list[tuple[int, int, int]]:
+    """(start, kind, end) by the contract's base rules, sorted; kinds 0 assign, 1 access, 2 hex."""
+    text = text or ""
+    key = r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+    out = [(m.start(), 0, m.end()) for m in re.finditer(key + r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)

@@ -10,6 +10,7 @@ from tidemark.llm.line_quality import clean_documents
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.packing import pack
+from tidemark.llm.secrets import scan, summarise
 from tidemark.llm.token_store import read_tokens, write_tokens
 from tidemark.llm.toxicity import score_toxicity, train
 
@@ -37,6 +38,10 @@ def op7_token_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(_documents(spark, sf_dir), end_id=0))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarise(scan(_documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), end_id=2, with_ids=False).drop("ids")
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_source_mixing": op2_source_mixing,
         "op3_line_quality": op3_line_quality,
         "op7_token_bit_packing": op7_token_bit_packing,
+        "op8_secret_scan": op8_secret_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }

@@ -31,11 +31,16 @@ from tidemark.llm._store import Store
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches of ``pattern`` that also fit ``keep`` (a pattern for the whole match)."""
+    """A kind of secret: matches of ``pattern`` that also fit ``keep`` (a pattern for the whole match).
+
+    ``guard`` is found in every text with a kept match; where a rule has no mandatory trigram, texts
+    without it are passed over after a full scan for it.
+    """
 
     kind: str
     pattern: str
     keep: str | None = None
+    guard: str | None = None
 
 
 def _either(word: str) -> str:
@@ -47,7 +52,7 @@ _KEYS = "|".join([*map(_either, ("password", "passwd", "secret", "token")), "[Aa
 BASE_RULES = (
     Rule("assign", rf"(?:{_KEYS})[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+", r"[\s\S]*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8,}"),
     Rule("access", "AKIA[A-Z0-9]+", ".{16,}"),
-    Rule("hex", "[0-9a-f]+", ".{32,}"),
+    Rule("hex", "[0-9a-f]+", ".{32,}", "[0-9a-f]{32}"),
 )
 #: Kinds that the scan adds to the base ones.
 MORE_RULES = (
@@ -62,13 +67,20 @@ MORE_RULES = (
 
 
 def _conj(parts):
-    parts = {p for p in parts if p is not None}
+    parts = frozenset().union(*(_needs(p) for p in parts if p is not None))
     return None if not parts else next(iter(parts)) if len(parts) == 1 else ("and", frozenset(parts))
 
 
+def _needs(query) -> frozenset:
+    return query[1] if isinstance(query, tuple) and query[0] == "and" else frozenset([query])
+
+
 def _disj(parts):
     parts = set(parts)
-    return None if None in parts or not parts else next(iter(parts)) if len(parts) == 1 else ("or", frozenset(parts))
+    if None in parts or not parts:
+        return None
+    least = {p for p in parts if not any(_needs(q) < _needs(p) for q in parts)}  # what implies another part adds nothing
+    return next(iter(least)) if len(least) == 1 else ("or", frozenset(least))
 
 
 def _grams(s: str):
@@ -87,7 +99,7 @@ def _strings_of_class(items) -> set[str] | None:
             out.update(chr(c).lower() if c < 128 else chr(c) for c in range(arg[0], arg[1] + 1))
         else:
             return None
-    return out if len(out) <= 4 else None
+    return out if len(out) <= 8 else None
 
 
 def _analyse(tree):
@@ -147,45 +159,125 @@ def trigrams_in(query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(trigrams_in, query[1]))
 
 
+BLOCK = 32_768  # bits of one of Spark's bitmaps
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, block, bits): bitmaps of the row numbers ``row_no`` of ``docs`` whose ``low`` has the trigram."""
+    """(trigram, block, bits): bitmaps of the ``slot`` numbers (from 1) of ``docs`` whose ``low`` has the trigram."""
     named = F.array(*map(F.lit, trigrams))
-    has = F.filter(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]), lambda x: x.isNotNull())
-    hits = docs.select("row_no", F.explode(has).alias("g"))
-    hits = hits.groupBy("g", F.expr("bitmap_bucket_number(row_no)").alias("block"))
-    return hits.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(row_no))").alias("bits")).select(F.element_at(named, F.col("g") + 1).alias("trigram"), "block", "bits")
+    marks = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)])
+    hits = docs.select("slot", F.explode(F.array_compact(marks)).alias("g"))
+    hits = hits.groupBy("g", F.expr("bitmap_bucket_number(slot)").alias("block"))
+    bits = hits.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    return bits.select(F.element_at(named, F.col("g") + 1).alias("trigram"), "block", "bits")
 
 
 def evaluate(query, index: DataFrame) -> DataFrame:
-    """(block, bits) of the documents that meet a query, by intersecting and joining postings."""
+    """(block, bits) of the slots that meet a query, by intersecting and joining postings block by block."""
     if isinstance(query, str):
         return index.filter(F.col("trigram") == query).select("block", "bits")
-    parts = [evaluate(p, index) for p in sorted(query[1], key=repr)]
-    if all(isinstance(p, str) for p in query[1]):  # plain lists of trigrams in one pass
-        rows = index.filter(F.col("trigram").isin(*query[1])).select("block", "bits")
-    else:
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionAll(p)
+    plain = [p for p in query[1] if isinstance(p, str)]
+    rows = index.filter(F.col("trigram").isin(*plain)).select("block", "bits") if plain else None
+    for p in sorted((p for p in query[1] if not isinstance(p, str)), key=repr):
+        part = evaluate(p, index)
+        rows = part if rows is None else rows.unionAll(part)
     if query[0] == "or":
         return rows.groupBy("block").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
     met = rows.groupBy("block").agg(F.expr("bitmap_and_agg(bits)").alias("bits"), F.count("*").alias("n"))
     return met.filter(F.col("n") == len(query[1])).drop("n")
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Array of (start, kind order is added by the caller, end) of a rule's leftmost non-overlapping matches that ``keep`` lets pass."""
+def slots_of(bitmaps: DataFrame) -> DataFrame:
+    """The slots whose bits are set in (block, bits)."""
+    octets = bitmaps.select("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCK // 8 - 1))).alias("at"), "bits")
+    octets = octets.select("block", "at", F.conv(F.hex(F.expr("substring(bits, at + 1, 1)")), 16, 10).cast("int").alias("octet")).filter("octet <> 0")
+    bits = octets.select("block", "at", "octet", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).filter("shiftright(octet, bit) % 2 = 1")
+    return bits.select(((F.col("block") - 1) * BLOCK + F.col("at") * 8 + F.col("bit") + 1).alias("slot"))
+
+
+_SPANS = "array<struct<s:int,k:int,e:int>>"
+
+
+def spans(text: Column, rule: Rule, order: int) -> Column:
+    """(start, order, end) of a rule's leftmost non-overlapping matches that ``keep`` lets pass, in code points."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    none = F.array().cast(_SPANS)
 
     def step(acc, pair):
         s = acc["at"] + F.length(pair["gap"])
         e = s + F.length(pair["match"])
-        ok = F.length(pair["match"]) > 0
-        if rule.keep:
-            ok = ok & pair["match"].rlike(f"^(?:{rule.keep})$")
-        return F.struct(e.alias("at"), F.when(ok, F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), pair["match"].alias("m"))))).otherwise(acc["out"]).alias("out"))
+        ok = pair["match"].rlike(f"^(?:{rule.keep})$") if rule.keep else F.lit(True)
+        own = F.array(F.struct(s.alias("s"), F.lit(order).alias("k"), e.alias("e"))).cast(_SPANS)
+        return F.struct(e.alias("at"), F.when(ok, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.when(F.size(found) > 0, walked).otherwise(none)
+
+
+def _listed(found: Column, kinds: list[str]) -> Column:
+    names = F.array(*map(F.lit, kinds))
+    return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """Adds found_spans, an array of (s, k, e), sorted, k being the rule's number, to ``docs`` (doc_id, text, ...).
+
+    Null text is empty. Rows need no unique id: an id shares its slot of the index with equal ones (and
+    null with 0), which can only add candidates. An empty table gives an empty result. A column
+    named found_spans is replaced; all others stay.
+    """
+    queries = [trigram_query(r.pattern) for r in rules]
+    named = sorted(set().union(*map(trigrams_in, queries)))
+    base = docs.drop("found_spans")
+    out = base
+    mask = F.lit(0)
+    if named:
+        store = Store(docs.sparkSession, "secrets")
+        slots = 2 * base.select("doc_id").count() + 1
+        slot = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(slots)) + 1
+        index = store.put("index", postings(base.select(slot.alias("slot"), F.lower("text").alias("low")), named))
+        wanted = None
+        for i, q in enumerate(queries):
+            if q is not None:
+                own = slots_of(evaluate(q, index)).select(F.col("slot").alias("cand_slot"), F.lit(1 << i).alias("cand_bit"))
+                wanted = own if wanted is None else wanted.unionAll(own)
+        wanted = store.put("candidates", wanted.groupBy("cand_slot").agg(F.bit_or("cand_bit").alias("cand_mask")))
+        out = base.join(wanted, slot == F.col("cand_slot"), "left")
+        mask = F.coalesce("cand_mask", F.lit(0))
+    parts = []
+    for i, (rule, q) in enumerate(zip(rules, queries, strict=True)):
+        if q is not None:
+            runs = mask.bitwiseAND(F.lit(1 << i)) != 0
+        else:
+            runs = F.col("text").rlike(rule.guard) if rule.guard else F.lit(True)
+        parts.append(F.when(runs & F.col("text").isNotNull(), spans(F.col("text"), rule, i)).otherwise(F.array().cast(_SPANS)))
+    return out.withColumn("found_spans", F.array_sort(F.concat(*parts))).drop("cand_slot", "cand_mask")
+
+
+def summarise(found: DataFrame, base: int = len(BASE_RULES), rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """n_<kind> of the first ``base`` rules, base_sha256 and spans, from found_spans."""
+    kinds = [r.kind for r in rules]
+    col = F.col("found_spans")
+
+    def count(i: int) -> Column:
+        return F.size(F.filter(col, lambda x: x["k"] == i)).cast("long").alias(f"n_{kinds[i]}")
+
+    counts = [count(i) for i in range(base)]
+    own = F.filter(col, lambda x: x["k"] < base)
+    return found.select("doc_id", *counts, F.sha2(_listed(own, kinds), 256).alias("base_sha256"), _listed(col, kinds).alias("spans"))
+
+
+def redact(found: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """Replaces every span of found_spans in ``text`` by <kind>; of overlapping spans the first names the rest. Drops found_spans."""
+    kinds = F.array(*[F.lit(f"<{r.kind}>") for r in rules])
+    text = F.col("text")
+
+    def step(acc, x):
+        ahead = F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), F.element_at(kinds, x["k"] + 1))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], ahead).otherwise(acc["out"]).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), found, lambda g, m: F.struct(g.alias("gap"), F.coalesce(m, F.lit("")).alias("match")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate("found_spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    return found.withColumn("text", F.when(F.size("found_spans") > 0, clean).otherwise(text)).drop("found_spans")
