@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.importance import resample
 from tidemark.llm.line_quality import clean_documents
+from tidemark.llm.media import document_media
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.packing import pack
@@ -34,6 +37,15 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_documents(_documents(spark, sf_dir).select("doc_id", "text")).drop("text", "cleaned")
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") == 1).alias("target"))
+    return resample(_documents(spark, sf_dir), target)
+
+
 def op7_token_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(_documents(spark, sf_dir), end_id=0))
 
@@ -55,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity_ordinal": op1_toxicity_ordinal,
         "op2_source_mixing": op2_source_mixing,
         "op3_line_quality": op3_line_quality,
+        "op5_media_columns": op5_media_columns,
+        "op6_importance_resampling": op6_importance_resampling,
         "op7_token_bit_packing": op7_token_bit_packing,
         "op8_secret_scan": op8_secret_scan,
         "op9_best_fit_packing": op9_best_fit_packing,

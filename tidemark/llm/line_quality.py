@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tidemark.llm._words import WHITE, Words, slices, texts_of
 
@@ -119,7 +120,7 @@ def clean_documents(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
                 cols += [pa.array(failed), pa.array([x[1] for x in lines], pa.int64()), pa.array(lost), pa.array(kept), pa.array([x[0].decode() for x in lines], pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *cols], [*keep, *names])
 
-    schema = base.schema
+    schema = T.StructType(list(base.schema))
     for name in names:
         schema = schema.add(name, {"base_failed": "boolean", "kept": "boolean", "cleaned": "string"}.get(name, "long"))
     return base.mapInArrow(run, schema)

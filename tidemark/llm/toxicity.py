@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm._words import slices, texts_of
 
@@ -160,5 +161,5 @@ def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
                 cols = [pa.array(np.round(above.sum(axis=1), 6)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] > 0.5)]
                 yield pa.RecordBatch.from_arrays([*own.columns, *cols], [*keep, *names])
 
-    schema = base.schema.add("expected_severity", "double").add("grade", "int").add("toxic", "boolean")
+    schema = T.StructType(list(base.schema)).add("expected_severity", "double").add("grade", "integer").add("toxic", "boolean")
     return base.mapInArrow(run, schema)
