@@ -64,3 +64,21 @@ def base_secrets(text: str | None) -> list[tuple[int, int, int]]:
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
     return sorted(out)
+
+
+def repeated_spans(rows: list[tuple[int, str | None]], least: int) -> list[tuple[int, int, int]]:
+    """(doc_id, start, end) of unions of passages of ``least`` words that two documents have."""
+    holders: dict[tuple, set] = {}
+    words = [(d, WORD.findall(t or "")) for d, t in rows]
+    for d, w in words:
+        for i in range(len(w) - least + 1):
+            holders.setdefault(tuple(w[i : i + least]), set()).add(d)
+    out = []
+    for d, w in words:
+        for i in range(len(w) - least + 1):
+            if len(holders[tuple(w[i : i + least])]) > 1:
+                if out and out[-1][0] == d and i <= out[-1][2]:
+                    out[-1] = (d, out[-1][1], i + least)
+                else:
+                    out.append((d, i, i + least))
+    return sorted(out)

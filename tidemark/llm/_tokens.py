@@ -1,12 +1,17 @@
-"""Token ids by a public tokenizer file, with a bounded cache of encoded chunks.
+"""Token ids by a public tokenizer file, with a bounded cache of encoded pieces.
 
-Byte-level pre-tokenizers start a new piece at every single space between two non-space characters,
-and merges never cross pieces, so a text encodes to the joined ids of its chunks cut there. Chunks
-repeat far more often than texts; each distinct one goes through the library once per worker.
+A byte-level tokenizer cuts a text into pieces (a word with the space before it, a run of digits, of
+signs, of white space) and merges never cross pieces, so a text's ids are the joined ids of its pieces.
+Pieces repeat far more often than texts; each distinct one goes through the library's model once while
+it is cached. Texts in Latin-1 are cut here by the same pattern with its character classes spelled out,
+which for that range are the same in every Unicode version; others are first cut at single spaces
+between non-space characters, always a boundary, and what is not Latin-1 then goes through the whole
+tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -17,48 +22,99 @@ import public_tokenizers
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 DEFAULT_FILE = "byte_bpe_50k.json"
-CACHE_CHUNKS = 400_000
-CACHED_CHARS = 48
+#: Pieces in each of the two generations of a worker's cache, and the longest that is cached.
+CACHE_PIECES = 500_000
+CACHED_CHARS = 40
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_LETTER, _DIGIT, _WHITE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_WHITE}{_LETTER}{_DIGIT}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _encoders: dict[str, Encoder] = {}
 
 
+def byte_letters() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself where printable, else from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, spare = [], 0x100
+    for b in range(256):
+        out.append(chr(b if b in printable else spare))
+        spare += b not in printable
+    return out
+
+
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        pre = self.tokenizer.pre_tokenizer
-        self.chunked = type(pre).__name__ == "ByteLevel" and not getattr(pre, "add_prefix_space", True) and self.tokenizer.normalizer is None
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path) as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        self.pieces = (
+            spec["model"]["type"] == "BPE" and spec.get("normalizer") is None and not spec["model"].get("dropout")
+            and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        )
+        self.specials = [t["content"] for t in spec.get("added_tokens", ())]
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
 
+    def _piece(self, piece: str) -> bytes:
+        made = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return b"".join([t.id.to_bytes(4, "little") for t in made])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        whole = [not self.chunked or any(s in t for s in self.specials) for t in texts]
+        if not self.pieces:
+            return self._whole(texts)
         cut: list[list[str]] = []
-        for t, w in zip(texts, whole, strict=True):
-            parts = [t] if w else _CUT.split(t)
-            parts[1:] = [" " + p for p in parts[1:]]
+        other: dict[str, bytes] = {}
+        for t in texts:
+            if any(s in t for s in self.specials):
+                parts = [t]
+                other[t] = b""
+            elif _latin(t):
+                parts = _PIECE.findall(t)
+            else:
+                chunks = _CUT.split(t)
+                chunks[1:] = [" " + c for c in chunks[1:]]
+                parts = []
+                for c in chunks:
+                    if _latin(c):
+                        parts += _PIECE.findall(c)
+                    else:
+                        parts.append(c)
+                        other[c] = b""
             cut.append(parts)
-        cache = self.cache
-        lone: dict[str, bytes] = {}
-        missing = list({p for parts in cut for p in parts if p not in cache})
-        for s in range(0, len(missing), 4096):
-            some = missing[s : s + 4096]
-            for p, ids in zip(some, self._raw(some), strict=True):
-                if len(p) <= CACHED_CHARS:
-                    cache[p] = ids
-                else:
-                    lone[p] = ids
-        out = [b"".join([cache[p] if p in cache else lone[p] for p in parts]) for parts in cut]
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
+        if other:
+            names = list(other)
+            other = dict(zip(names, self._whole(names), strict=True))
+        young, old = self.young, self.old
+        for p in set().union(*cut).difference(young, other):
+            ids = old.get(p)
+            if ids is None:
+                ids = self._piece(p)
+            (young if len(p) <= CACHED_CHARS else other)[p] = ids
+        if other:
+            out = [b"".join([other[p] if p in other else young[p] for p in parts]) for parts in cut]
+        else:
+            out = [b"".join([young[p] for p in parts]) for parts in cut]
+        if len(young) > CACHE_PIECES:
+            self.old, self.young = young, {}
         return out
 
 

@@ -14,6 +14,7 @@ from tidemark.llm.mixing import mix_documents
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.secrets import scan, summarise
+from tidemark.llm.suffix_dedup import repeated_passages
 from tidemark.llm.token_store import read_tokens, write_tokens
 from tidemark.llm.toxicity import score_toxicity, train
 
@@ -37,6 +38,10 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_documents(_documents(spark, sf_dir).select("doc_id", "text")).drop("text", "cleaned")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_documents(spark, sf_dir), least=50)
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(_documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity_ordinal": op1_toxicity_ordinal,
         "op2_source_mixing": op2_source_mixing,
         "op3_line_quality": op3_line_quality,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_media_columns": op5_media_columns,
         "op6_importance_resampling": op6_importance_resampling,
         "op7_token_bit_packing": op7_token_bit_packing,
