@@ -66,6 +66,8 @@ class Encoder:
         self.specials = [t["content"] for t in spec.get("added_tokens", ())]
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        if self.pieces and hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # its own cache only costs time behind this one
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
