@@ -1,12 +1,66 @@
-"""The corpus pipeline over documents."""
+"""The corpus pipeline: toxicity, near duplicates, secrets, mixing, packing, in this order.
+
+Every stage takes (spark, docs, sf_dir), works on all of ``docs`` and, but for the last, returns its
+columns; between stages the rows are a Parquet table in the shared folder. SQL cannot express the
+fitted model or the tokenizer, so there is no ORACLE_SQL; tests/llm/test_pipeline.py compares the run
+with plain Python.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import mixing, near_dup, packing, secrets, toxicity
+from tidemark.llm._store import Store
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model, fitted on the labelled ones, does not find toxic."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_toxicity(docs, model).filter("not toxic").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more); rows without an id stay."""
+    groups = near_dup.near_duplicates(docs.select("doc_id", "text"), k=5, threshold=80)
+    stay = groups.filter("kept and doc_id is not null").select(F.col("doc_id").alias("stay_id"), F.col("h").alias("stay_h")).distinct()
+    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    unnamed = docs.filter("doc_id is null")
+    return named.join(stay, (F.col("doc_id") == F.col("stay_id")) & (F.xxhash64("text") == F.col("stay_h")), "left_semi").unionByName(unnamed)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the name of its kind in the place of every secret; n_chars follows the text."""
+    clean = secrets.redact(secrets.scan(docs))
+    return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.expand(mixing.mix_documents(docs, carry=True)).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 1024 tokens."""
+    return packing.pack(docs, with_ids=False).drop("ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents."""
+    store = Store(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = store.put(name, stage(spark, docs, sf_dir))
+    return docs

@@ -64,7 +64,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_documents(spark, sf_dir), k=4, threshold=80)
+    return near_duplicates(_documents(spark, sf_dir), k=4, threshold=80).drop("h")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

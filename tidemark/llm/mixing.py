@@ -63,22 +63,28 @@ def cyclic_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return t.withColumn("target", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0))).select("source", "source_size", "docs", "target")
 
 
-def mix(docs: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, measured: DataFrame | None = None) -> DataFrame:
     """Copies of each document in the mix.
 
     ``docs``: doc_id, source, size, weight and h (a hash that breaks ties). ``targets``: source, docs (a
     count), source_size and target, which is at most a whole number of epochs and a remainder. Adds
     source_size, target, key, copies and taken (copies * size). Null sources are a source.
-    Documents of size 0 add nothing and are taken with their key.
+    Documents of size 0 add nothing and are taken with their key. ``measured`` is a stored table of the
+    same rows without other columns, from which the sums are taken.
     """
     bins = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(BIN_DOCS)))
-    keyed = docs.withColumn("key", exponential_key(F.col("weight"), seed, F.col("doc_id"), F.col("h")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.select(
         F.coalesce(F.col("source"), F.lit("\x00")).alias("s"), "source_size", "target", epochs.alias("epochs"), bins.alias("bins"),
     ).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    rows = keyed.withColumn("s", F.coalesce(F.col("source"), F.lit("\x00"))).join(plan, "s", "left")
-    rows = rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("key", exponential_key(F.col("weight"), seed, F.col("doc_id"), F.col("h")))
+        rows = rows.withColumn("s", F.coalesce(F.col("source"), F.lit("\x00"))).join(plan, "s", "left")
+        return rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")))
+
+    every = placed(docs)
+    rows = every if measured is None else placed(measured)
     sums = rows.groupBy("s", "bin").agg(F.sum("size").alias("in_bin"), F.first("rest").alias("rest"))
     by_bin = Window.partitionBy("s").orderBy("bin")
     sums = sums.withColumn("before", F.sum("in_bin").over(by_bin) - F.col("in_bin"))
@@ -91,7 +97,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     cut = cut_bin.join(below, "s", "left").select("s", "cut_bin", "cut", F.coalesce("upto", "before").alias("met"))
     last = inside.filter("upto > rest").drop("upto").join(cut.select("s", "met"), "s").withColumn("gap", F.col("rest") - F.col("met"))
     last = last.filter("abs(size - gap) < gap").groupBy("s").agg(F.min_by("own", F.struct(F.abs(F.col("size") - F.col("gap")), "own")).alias("last"))
-    out = rows.join(cut.drop("met").join(last, "s", "left"), "s", "left")
+    out = every.join(cut.drop("met").join(last, "s", "left"), "s", "left")
     own = F.struct("key", "doc_id", "h")
     inside_cut = F.coalesce(own <= F.col("cut"), F.lit(False)) | F.coalesce(own == F.col("last"), F.lit(False))
     taken = (F.col("rest") > 0) & ((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & inside_cut))
@@ -99,19 +105,24 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     return out.withColumn("taken", F.col("copies") * F.col("size")).drop("s", "bin", "bins", "cut", "last", "cut_bin", "epochs", "rest")
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, weight: Column | None = None) -> DataFrame:
-    """Mixes ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, copies, source, key, h.
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, weight: Column | None = None, carry: bool = False) -> DataFrame:
+    """Mixes ``docs`` (doc_id, text, source): doc_id, source, size, weight, h, source_size, target, key, copies, taken.
 
     Null text has size 0; null doc_ids and repeated rows are documents of their own (equal ones are taken
     together); an empty table gives an empty result. ``weight`` is a column of ``docs``. h (a hash of the
-    text) and doc_id name a row.
+    text) and doc_id name a row. With ``carry``, the columns of ``docs`` stay as the struct ``row``.
     """
     store = Store(docs.sparkSession, "mixing")
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        word_count(F.col("text")).alias("size"), (text_weight(F.col("text")) if weight is None else weight).cast("double").alias("weight"), F.xxhash64("text").alias("h"),
-    )
-    rows = store.put("rows", rows)
+    own = [
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+        (text_weight(F.col("text")) if weight is None else weight).cast("double").alias("weight"), F.xxhash64("text").alias("h"),
+    ]
+    rows = store.put("rows", docs.select(*own))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = store.put("targets", cyclic_targets(sizes, weights, share, most))
-    return mix(rows, targets, seed)
+    return mix(docs.select(*own, F.struct(*map(F.col, docs.columns)).alias("row")) if carry else rows, targets, seed, rows)
+
+
+def expand(mixed: DataFrame) -> DataFrame:
+    """The rows of a mix with ``carry``, each as often as it is taken."""
+    return mixed.filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

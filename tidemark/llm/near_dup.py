@@ -40,7 +40,7 @@ _rng = np.random.default_rng(8191)
 _XOR = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 _MUL = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, fp1 long, fp2 long, keys binary, sketch binary"
+SKETCH_SCHEMA = "doc_id long, h long, n_shingles long, fp1 long, fp2 long, keys binary, sketch binary"
 
 
 def max_xor(threshold: float) -> float:
@@ -103,8 +103,8 @@ def _sketcher(k: int):
             for a, b in slices(map(len, texts)):
                 sizes, fp1, fp2, keys, sketch = sketch_slice(texts[a:b], k)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sizes), pa.array(fp1), pa.array(fp2), _binary(keys), _binary(sketch)],
-                    ["doc_id", "n_shingles", "fp1", "fp2", "keys", "sketch"],
+                    [ids.slice(a, b - a), batch.column("h").slice(a, b - a), pa.array(sizes), pa.array(fp1), pa.array(fp2), _binary(keys), _binary(sketch)],
+                    ["doc_id", "h", "n_shingles", "fp1", "fp2", "keys", "sketch"],
                 )
 
     return run
@@ -235,7 +235,7 @@ def _comparer(mode: str, most: float, threshold: int):
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs`` (doc_id, text): doc_id, h (xxhash64 of the text), n_shingles, component_id, kept.
 
     Links hold where 100 * intersection >= threshold * union of the k-word shingle sets; component_id
     is the smallest doc_id reachable and kept marks it. Null text is empty; a null doc_id has a null
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     spark = docs.sparkSession
     store = Store(spark, "near-dup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = store.put("signed", docs.mapInArrow(_sketcher(k), SKETCH_SCHEMA))
+    signed = store.put("signed", docs.withColumn("h", F.xxhash64("text")).mapInArrow(_sketcher(k), SKETCH_SCHEMA))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = store.put("classes", full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node")))
     signs = full.select("doc_id", "fp1", "fp2", "n_shingles", "keys", "sketch").dropDuplicates(["doc_id", "fp1", "fp2"])
@@ -321,9 +321,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
             old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
             fresh = found.join(labels, "node", "left_anti").select("node", "label")
             labels = store.put(f"labels{turn}", old.union(fresh).filter("node <> label"))
-    out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
+    out = signed.select("doc_id", "h", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
     out = out.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
-    out = labelled(out).select("doc_id", "n_shingles", F.col("label").alias("component_id"))
+    out = labelled(out).select("doc_id", "h", "n_shingles", F.col("label").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
 
 
