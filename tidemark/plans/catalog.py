@@ -5,15 +5,76 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import library  # noqa: F401  fills the registry
+from tidemark.functions.registry import REGISTRY
+from tidemark.plans import studies
+from tidemark.plans.formula import DUCK, Compiler
+from tidemark.plans.run import eval_formula
+from tidemark.sources.bars import EVENT_BARS_SQL, event_bars
+
+#: Formula queries: every output is one function, by its own name.
+FORMULAS: dict[str, str] = {
+    "formula_moving_average_cross": "MA5 := MA(CLOSE, 5); MA20 := MA(CLOSE, 20); FAST : MA5; SLOW : MA20; GOLD : CROSS(MA5, MA20); DEAD : CROSSDOWN(MA5, MA20); BULL : MA5 > MA20 AND CLOSE > MA5;",
+    "fn_arithmetic": "F_ADD : ADD(O, C); F_SUB : SUB(H, L); F_MULT : MULT(C, V); F_DIV : DIV(C, O); F_MOD : MOD(C, 7); F_REM : C % 7; F_POW : POW(C / 100, 2); F_HAT : (C / 100) ^ 2; F_NEG : -2 ^ 2 + C; F_MAX : MAX(O, C); F_MIN : MIN(O, C); F_AVG : AVG(O, H, L, C); F_SIGN : SIGN(C - O); F_ABS : ABS(C - O);",
+    "fn_math": "F_SIN : SIN(C); F_COS : COS(C); F_TAN : TAN(C / 1000); F_ATAN : ATAN(C); F_ASIN : ASIN((C - O) / 100); F_ACOS : ACOS((C - O) / 100); F_SINH : SINH(C / 100); F_COSH : COSH(C / 100); F_TANH : TANH(C / 100); F_EXP : EXP(C / 100); F_LN : LN(C); F_LOG10 : LOG10(C); F_SQRT : SQRT(C - O); F_ROUND : ROUND(C - O); F_INTPART : INTPART(C - O); F_FRACPART : FRACPART(C - O); F_CEIL : CEIL(C); F_FLOOR : FLOOR(C); F_CEILING : CEILING(C, 5);",
+    "fn_logic": "F_IF : IF(C > O, H, L); F_IFTHEN : IFTHEN(C > O, H); F_AND : C > O AND V > 10; F_OR : C > O OR V > 30; F_XOR : (C > O) XOR (V > 20); F_NOT : NOT(C > O); F_EQ : V = 20; F_NE : V <> 20; F_BETWEEN : BETWEEN(C, 50, 150); F_RANGE : RANGE(C, 50, 150); F_ISNA : ISNA(REF(C, 3)); F_THEN : IF C > O THEN H ELSE L;",
+    "fn_price": "F_AVGPRICE : AVGPRICE(O, H, L, C); F_MEDPRICE : MEDPRICE(H, L); F_TYPPRICE : TYPPRICE(H, L, C); F_WCLPRICE : WCLPRICE(H, L, C); F_BOP : BOP(O, H, L, C); F_MARKETFI : MARKETFI(H, L, V);",
+    "fn_clock": "F_YEAR : YEAR; F_MONTH : MONTH; F_DAY : DAY; F_HOUR : HOUR; F_MINUTE : MINUTE; F_DATE : DATE; F_TIME : TIME; F_WEEKDAY : WEEKDAY; F_FROMOPEN : FROMOPEN;",
+    "fn_lag": "F_REF : REF(C, 3); F_OPEN1 : OPEN1; F_HIGH1 : HIGH1; F_LOW1 : LOW1; F_CLOSE1 : CLOSE1; F_VOL1 : VOL1; F_MOM : MOM(C, 5); F_ROC : ROC(C, 5); F_ROCP : ROCP(C, 5); F_ROCR : ROCR(C, 5); F_ROCR100 : ROCR100(C, 5); F_TR : TR(H, L, C); F_TRANGE : TRANGE(H, L, C); F_RS : RELATIVE_STRENGTH(C, O, 5); F_LIMIT_UP : LIMIT_UP(C, 0.5); F_LIMIT_DOWN : LIMIT_DOWN(C, 0.5);",
+    "fn_cross": "M3 := MA(C, 3); M9 := MA(C, 9); F_CROSS : CROSS(M3, M9); F_DOWN : CROSSDOWN(M3, M9); F_LEVEL : CROSS(C, 100); F_LONG : LONGCROSS(M3, M9, 3);",
+    "fn_rolling": "F_MA : MA(C, 20); F_SUM : SUM(V, 20); F_HHV : HHV(H, 20); F_LLV : LLV(L, 20); F_STD : STD(C, 20); F_STDDEV : STDDEV(C, 20, 2); F_SAMPLE : STDDEV_SAMPLE(C, 20); F_VAR : VAR(C, 20); F_MIDPOINT : MIDPOINT(C, 14); F_SPAN : ROLLING_RANGE(C, 14); F_ZSCORE : ZSCORE(C, 20); F_NESTED : MA(MA(C, 5), 9);",
+    "fn_conditions": "UP := C > O; F_COUNT : COUNT(UP, 10); F_EXIST : EXIST(C > 200, 10); F_EVERY : EVERY(C > 20, 5); F_LAST : LAST(C > 20, 5, 2); F_BARSLAST : BARSLAST(C > 150); F_SINCE : BARSSINCE(C > 150); F_RUN : BARSLASTCOUNT(UP); F_WHEN : VALUEWHEN(C > 150, H); F_FIX : FIXNAN(IF(C > 100, C, DRAWNULL));",
+    "fn_moments": "F_SKEW : SKEW(C, 10); F_KURT : KURT(C, 10); F_AVEDEV : AVEDEV(C, 10); F_DEVSQ : DEVSQ(C, 10); F_CORREL : CORREL(H, L, 10); F_COVAR : COVAR(H, L, 10); F_HISTVOL : HISTVOL(C, 20);",
+    "fn_bands": "F_BOLL : BOLL(C, 20, 2); F_BOLLUP : BOLLUP(C, 20, 2); F_BOLLDN : BOLLDN(C, 20, 2); F_BOLLWIDTH : BOLLWIDTH(C, 20, 2); F_DONCHIAN : DONCHIAN(H, L, 20); F_WIDTH : DONCHIAN_WIDTH(H, L, 20); F_TENKAN : TENKAN(H, L, 9); F_KIJUN : KIJUN(H, L, 26); F_MIDPRICE : MIDPRICE(H, L, 14);",
+    "fn_oscillators": "F_WILLR : WILLR(H, L, C, 14); F_STOCH : STOCH(H, L, C, 14, 3); F_STOCHF : STOCHF(H, L, C, 14); F_CCI : CCI(H, L, C, 14); F_CMO : CMO(C, 14); F_MFI : MFI(H, L, C, V, 14); F_PSY : PSY(C, 12); F_BIAS : BIAS(C, 6); F_DPO : DPO(C, 20); F_ULTOSC : ULTOSC(H, L, C, 7, 14, 28); F_IMI : IMI(O, C, 14); F_QSTICK : QSTICK(O, C, 8);",
+    "fn_trend": "F_ER : ER(C, 10); F_VHF : VHF(C, 14); F_CHOP : CHOP(H, L, C, 14); F_VPLUS : VORTEX_PLUS(H, L, C, 14); F_VMINUS : VORTEX_MINUS(H, L, C, 14); F_AROON_UP : AROON_UP(H, L, 14); F_AROON_DN : AROON_DN(H, L, 14); F_AROONOSC : AROONOSC(H, L, 14); F_AO : AO(H, L, 5, 34); F_AC : AC(H, L, 5, 34, 5); F_ADR : ADR(H, L, 14);",
+    "fn_volume": "F_OBV : OBV(C, V); F_AD : AD(H, L, C, V); F_CMF : CMF(H, L, C, V, 20); F_VWAP : VWAP(H, L, C, V); F_VWMA : VWMA(C, V, 20); F_PVT : PVT(C, V); F_WAD : WAD(H, L, C); F_RVOL : RVOL(V, 20); F_SURGE : VOLUME_SURGE(V, 10, 1.2); F_BREAKOUT : BREAKOUT(C, H, 20); F_BREAKDOWN : BREAKDOWN(C, L, 20);",
+    "fn_weighted": "F_WMA : WMA(C, 10); F_HMA : HMA(C, 16); F_ALMA : ALMA(C, 9, 0.85, 6); F_TRIMA : TRIMA(C, 10); F_TRIMA_ODD : TRIMA(C, 9);",
+    "fn_regression": "F_SLOPE : SLOPE(C, 14); F_LINEARREG : LINEARREG(C, 14); F_ICEPT : LINEARREG_INTERCEPT(C, 14); F_ANGLE : LINEARREG_ANGLE(C, 14); F_TSF : TSF(C, 14); F_RESI : RESI(C, 14); F_FOSC : FOSC(C, 14); F_RSQUARE : RSQUARE(C, 14);",
+    "fn_extremes": "F_HHVBARS : HHVBARS(H, 10); F_LLVBARS : LLVBARS(L, 10); F_MAXINDEX : MAXINDEX(C, 10); F_MININDEX : MININDEX(C, 10); F_RANK : RANK(C, 10); F_PERCENT_RANK : PERCENT_RANK(C, 10); F_RANK_PCT : RANK_PCT(C, 10); F_MEDIAN : MEDIAN(C, 9); F_QUANTILE : QUANTILE(C, 20, 0.25);",
+    "fn_expanding": "F_BARSCOUNT : BARSCOUNT(REF(C, 5)); F_CUMSUM : CUMSUM(V); F_CUMMAX : CUMMAX(H); F_CUMMIN : CUMMIN(L); F_TOTAL : TOTALBARSCOUNT; F_CURRENT : CURRBARSCOUNT; F_LASTBAR : ISLASTBAR; F_CONST : CONST(C);",
+    "fn_cross_section": "R := ROCP(C, 5); F_RANK : CS_RANK(R); F_ZSCORE : CS_ZSCORE(R); F_SCALE : CS_SCALE(R); F_DEMEAN : CS_DEMEAN(R); F_POWER : CS_SIGNED_POWER(R, 0.5);",
+    "formula_loops": "S := 0; FOR I = 1 TO 5 DO S := S + REF(C, I) * I; END; X := S; X /= 15; WEIGHTED : X; RAW : S;",
+}
+
+#: Formula queries with recursive functions; checked against published golden values and plain Python in the tests.
+RECURSIVE: dict[str, str] = {
+    "fn_recursive_averages": "F_EMA : EMA(C, 12); F_SMA : SMA(C, 12, 1); F_RMA : RMA(C, 14); F_DMA : DMA(C, V / 100); F_DEMA : DEMA(C, 10); F_TEMA : TEMA(C, 10); F_TRIX : TRIX(C, 9); F_KAMA : KAMA(C, 10);",
+    "fn_recursive_oscillators": "F_RSI : RSI(C, 14); F_MACD : MACD(C, 12, 26, 9); F_SIGNAL : MACD_SIGNAL(C, 12, 26, 9); F_HIST : MACD_HIST(C, 12, 26, 9); F_K : KDJ(H, L, C, 9, 3, 3); F_D : KDJ_D(H, L, C, 9, 3, 3); F_J : KDJ_J(H, L, C, 9, 3, 3);",
+    "fn_recursive_trend": "F_ATR : ATR(H, L, C, 14); F_ADX : ADX(H, L, C, 14); F_PLUS : PLUS_DI(H, L, C, 14); F_MINUS : MINUS_DI(H, L, C, 14); F_SAR : SAR(H, L, 0.02, 0.2); F_NVI : NVI(C, V); F_PVI : PVI(C, V);",
+    "formula_recursive_nested": "DIF := EMA(C, 12) - EMA(C, 26); DEA := EMA(DIF, 9); BAR : 2 * (DIF - DEA); GOLD : CROSS(DIF, DEA); SMOOTH : MA(RSI(C, 6), 5);",
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return _formula(FORMULAS["formula_moving_average_cross"])(spark, sf_dir)
+
+
+def _formula(source: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return eval_formula(event_bars(spark, sf_dir), source, digits=6).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+    return run
+
+
+def _formula_sql(source: str) -> str:
+    c = Compiler(dialect=DUCK).compile(source)
+    return c.sql(EVENT_BARS_SQL, c.finish())
+
+
+def registry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The function registry as rows: name, kind, arguments, causal."""
+    rows = [(f.name, f.kind, f.least, f.most, f.causal) for f in REGISTRY.values()]
+    return spark.createDataFrame(rows, "name string, kind string, least int, most int, causal boolean")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out = {name: _formula(source) for name, source in (FORMULAS | RECURSIVE).items()}
+    out["function_registry"] = registry_table
+    return out | studies.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: _formula_sql(source) for name, source in FORMULAS.items()} | studies.oracle_sql()
