@@ -17,25 +17,34 @@ from tidemark.llm._store import Store
 ORACLE_SQL = None
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """doc_id and text beside the whole row, so that no other column meets the operators' own."""
+    return docs.select("doc_id", "text", F.struct(*map(F.col, docs.columns)).alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model, fitted on the labelled ones, does not find toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(docs, model).filter("not toxic").select(*docs.columns)
+    return toxicity.score_toxicity(_with_row(docs), model).filter("not toxic").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more); rows without an id stay."""
     groups = near_dup.near_duplicates(docs.select("doc_id", "text"), k=5, threshold=80)
     stay = groups.filter("kept and doc_id is not null").select(F.col("doc_id").alias("stay_id"), F.col("h").alias("stay_h")).distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    unnamed = docs.filter("doc_id is null")
-    return named.join(stay, (F.col("doc_id") == F.col("stay_id")) & (F.xxhash64("text") == F.col("stay_h")), "left_semi").unionByName(unnamed)
+    rows = _with_row(docs)
+    named = rows.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    same = (F.col("doc_id").cast("long") == F.col("stay_id")) & (F.xxhash64("text") == F.col("stay_h"))
+    return named.join(stay, same, "left_semi").unionByName(rows.filter("doc_id is null")).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the name of its kind in the place of every secret; n_chars follows the text."""
-    clean = secrets.redact(secrets.scan(docs))
-    return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    clean = secrets.redact(secrets.scan(_with_row(docs)))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return clean.select(row.alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ class Words:
         h, n = self.hash, len(self.hash)
         out = np.zeros(n, dtype=np.uint64)
         factor = 1
-        for j in range(k):
+        for j in range(min(k, n)):
             factor = factor * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 | 1
             factor &= (1 << 64) - 1
             out[: n - j] += h[j:] * _U(factor)

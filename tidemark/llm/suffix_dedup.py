@@ -148,12 +148,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     anchors = rows.mapInArrow(_anchors(least), "key long, doc_id long, pos int")
     shared = anchors.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("key")
+    shared = store.put("shared", shared)  # a table, so that the join shuffles both sides itself and splits hot keys
     stay = anchors.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
     stay = store.put("stay", stay)  # a document's own places: as many as its words allow
     passages = store.put("passages", rows.join(stay, "doc_id").mapInArrow(_passages(least), "hash long, doc_id long, pos int"))
     first = F.min(F.struct("doc_id", "pos")).alias("first")
     runs = passages.groupBy("hash").agg(first, F.max("doc_id").alias("high")).filter("first.doc_id <> high")
-    hits = passages.join(runs, "hash").select(
+    hits = passages.join(store.put("runs", runs), "hash").select(
         "doc_id", "pos", (F.struct("doc_id", "pos") == F.col("first")).alias("first"),
         F.when(F.col("doc_id") == F.col("first.doc_id"), F.col("high")).otherwise(F.col("first.doc_id")).alias("other"),
     )
