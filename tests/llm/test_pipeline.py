@@ -10,7 +10,7 @@ def test_stages_on_planted_rows(spark, words, tmp_path):
             w[3], w[30] = "vilewordone", "vilewordtwo"
         docs.append((i, " ".join(w) + ".", "en", f"s{i % 3}", 0))
         labels.append((i, 1, int(i % 5 == 0)))
-    docs += [(1000 + i, docs[i][1], "en", "s1", 0) for i in range(1, 5)] + [(2000, "token=abcdefgh12 " + " ".join(words(50, 9)), "en", "s2", 0), (None, None, None, None, None)]
+    docs += [(1000 + i, docs[i][1], "en", "s1", 0) for i in range(1, 5)] + [(2000, "token=abcdefgh12 " + " ".join(words(50, 5000)), "en", "s2", 0), (None, None, None, None, None)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
