@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import library  # noqa: F401  fills the registry
+from tidemark.functions import alpha, candles, library  # noqa: F401  fill the registry
 from tidemark.functions.registry import REGISTRY
 from tidemark.plans import studies
 from tidemark.plans.formula import DUCK, Compiler
@@ -39,6 +39,13 @@ FORMULAS: dict[str, str] = {
     "formula_loops": "S := 0; FOR I = 1 TO 5 DO S := S + REF(C, I) * I; END; X := S; X /= 15; WEIGHTED : X; RAW : S;",
 }
 
+FORMULAS["fn_candles_one_bar"] = " ".join(f"F_{p[3:]} : {p}(O, H, L, C);" for p in candles.PATTERNS[:16])
+FORMULAS["fn_candles_more_bars"] = " ".join(f"F_{p[3:]} : {p}(O, H, L, C);" for p in candles.PATTERNS[16:])
+_NAMES = tuple(alpha.FAMILIES)
+FORMULAS["factors_alpha158_shapes"] = alpha.alpha158((), (), True)
+for _i, _part in enumerate((_NAMES[:8], _NAMES[8:15], _NAMES[15:23], _NAMES[23:])):
+    FORMULAS[f"factors_alpha158_part{_i + 1}"] = alpha.alpha158(alpha.WINDOWS, _part, False)
+
 #: Formula queries with recursive functions; checked against published golden values and plain Python in the tests.
 RECURSIVE: dict[str, str] = {
     "fn_recursive_averages": "F_EMA : EMA(C, 12); F_SMA : SMA(C, 12, 1); F_RMA : RMA(C, 14); F_DMA : DMA(C, V / 100); F_DEMA : DEMA(C, 10); F_TEMA : TEMA(C, 10); F_TRIX : TRIX(C, 9); F_KAMA : KAMA(C, 10);",
