@@ -12,7 +12,7 @@
    A group of near copies therefore costs a number of pairs that follows its size until it is
    connected, and what is not connected by then is compared in full.
 4. Buckets are cut into blocks of at most ``BLOCK`` expected members; pairs of blocks are dealt out,
-   so a bucket is never one task, and only pairs that pass leave it.
+   so a bucket is never one task, and only pairs that pass leave it, from the first band they share.
 
 Texts without words have an empty set and link with nothing. Rows with a null id get null
 component ids and are kept; rows repeated with one id each get the row of their own text.
@@ -87,6 +87,19 @@ def sketch_slice(texts: list[bytes], k: int) -> tuple[np.ndarray, ...]:
     return sizes, fp1.view(np.int64), fp2.view(np.int64), keys, np.packbits(bits, axis=1)
 
 
+def first_shared(low_keys: np.ndarray, x: np.ndarray, y: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Which pairs meet first in their band: a pair in several buckets counts in one of them only.
+
+    ``low_keys`` are the lower halves of the band keys; two that agree by chance (1 in 2^32) in an earlier
+    band would hide a pair, far more seldom than all bands miss it.
+    """
+    out = np.zeros(len(x), dtype=bool)
+    for s in range(0, len(x), 1 << 15):
+        z = slice(s, s + (1 << 15))
+        out[z] = (low_keys[x[z]] == low_keys[y[z]]).argmax(axis=1) == band[x[z]]
+    return out
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     """A two-dimensional array's rows as a binary column."""
     raw = np.ascontiguousarray(rows)
@@ -184,6 +197,8 @@ def _comparer(mode: str, most: float, threshold: int):
         node, label, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
         side, kind = t.column("side").to_numpy(), t.column("kind").to_numpy()
         sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(unit), -1)
+        low = np.frombuffer(b"".join(t.column("low_keys").to_pylist()), dtype=np.uint32).reshape(len(unit), -1)
+        band = t.column("band").to_numpy()
         edge = np.flatnonzero((unit[1:] != unit[:-1]) | (u2[1:] != u2[:-1])) + 1
         starts = np.concatenate(([0], edge))
         sizes = np.diff(np.concatenate((starts, [len(unit)])))
@@ -198,15 +213,17 @@ def _comparer(mode: str, most: float, threshold: int):
                 far = (label[x] != label[y]) & ((kind[x] == 0) | (side[x] != side[y]))
                 x, y = x[far], y[far]
                 _, ok = _passing(sk[x], n[x], sk[y], n[y], most, threshold)
-                left.append(node[x[ok]])
-                right.append(node[y[ok]])
+                left.append(x[ok])
+                right.append(y[ok])
         for a, size in zip(starts[sizes > 24], sizes[sizes > 24], strict=True):
             z = slice(a, a + size)
             i, j = _unit_pairs(label[z], n[z], sk[z], side[z], mode, most, threshold, bool(kind[a]))
-            left.append(node[z][i])
-            right.append(node[z][j])
+            left.append(a + i)
+            right.append(a + j)
         none = np.zeros(0, dtype=np.int64)
-        return np.concatenate(left or [none]), np.concatenate(right or [none])
+        x, y = np.concatenate(left or [none]), np.concatenate(right or [none])
+        keep = first_shared(low, x, y, band)
+        return node[x[keep]], node[y[keep]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -257,9 +274,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     keyed = reps.select(
         "node",
         F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(keys, i * 8 + 1, 8))")).alias("band", "key"),
-    ).select("node", F.xxhash64("band", "key").alias("unit"))
+    ).select("node", F.col("band").cast("int").alias("band"), F.xxhash64("band", "key").alias("unit"))
     busy = keyed.groupBy("unit").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    member = store.put("member", keyed.join(busy, "unit").select("unit", "node", "low", "high"))
+    member = store.put("member", keyed.join(busy, "unit").select("unit", "band", "node", "low", "high"))
     shown = reps.join(member.select("node").distinct(), "node", "left_semi")
     wanted = shown.select(F.col("node").alias("doc_id")).distinct()
     texts = store.put("texts", docs.join(wanted, "doc_id").select(F.col("doc_id").alias("node"), "text"))
@@ -348,7 +365,7 @@ def _blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
     compared with the others (side 0), so a connected hot bucket costs one pass over its members.
     """
     main = members.filter("node = low").select("unit", F.col("label").alias("main"))
-    sided = members.join(main, "unit").select("unit", "node", "label", (F.col("label") == F.col("main")).cast("int").alias("side"))
+    sided = members.join(main, "unit").select("unit", "band", "node", "label", (F.col("label") == F.col("main")).cast("int").alias("side"))
     size = sided.groupBy("unit").agg(
         F.ceil(F.sum(1 - F.col("side")) / F.lit(BLOCK)).cast("int").alias("rest"),
         F.greatest(F.lit(1), F.ceil(F.sum("side") / F.lit(BLOCK))).cast("int").alias("core"),
@@ -363,5 +380,6 @@ def _blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
           transform(sequence(0, core - 1), i -> struct(1000000000000L + own * 1000000L + i as tile, 1 as kind))) end"""
     )
     dealt = sided.join(size, "unit").withColumn("own", F.when(small, F.lit(0)).otherwise(own)).withColumn("at", F.explode(tiles))
-    rows = dealt.select("unit", "at.tile", "at.kind", "node", "label", "side").join(reps.select("node", "n", "sketch"), "node")
+    halves = F.concat(*[F.expr(f"substring(keys, {8 * i + 1}, 4)") for i in range(BANDS)])
+    rows = dealt.select("unit", "band", "at.tile", "at.kind", "node", "label", "side").join(reps.select("node", "n", "sketch", halves.alias("low_keys")), "node")
     return rows.repartition("unit", "tile").sortWithinPartitions("unit", "tile")
