@@ -5,11 +5,135 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import asof, panel, risk
+from tidemark.sources.bars import EVENT_BARS_SQL, event_bars, resample
+
+
+def _round(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
+def user_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, asset, factor, price, grp) of users by day: the day's mean value, and its last value as price."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("asset"), F.to_date("ts").alias("date"), "ts", "event_id", F.col("value").cast("double").alias("value"))
+    rows = e.groupBy("asset", "date").agg(F.avg("value").alias("factor"), F.max_by("value", F.struct("ts", "event_id")).alias("price"))
+    return panel.dated(rows.withColumn("grp", F.col("asset") % 5))
+
+
+PANEL_SQL = """raw AS (SELECT user_id AS asset, CAST(ts AS date) AS date, avg(value) AS factor, max_by(value, struct_pack(a := ts, b := event_id)) AS price, user_id % 5 AS grp FROM events GROUP BY user_id, CAST(ts AS date)),
+dates AS (SELECT date, row_number() OVER (ORDER BY date) AS d FROM (SELECT DISTINCT date FROM raw)),
+p AS (SELECT r.*, d.d FROM raw r JOIN dates d ON r.date = d.date),
+f AS (SELECT a.*, b.price / a.price - 1 AS fwd_1 FROM p a LEFT JOIN p b ON a.asset = b.asset AND b.d = a.d + 1),
+q AS (SELECT *, least(floor((CASE WHEN n = 1 THEN 0.5 ELSE (rk + (same - 1) / 2.0 - 1) / (n - 1) END) * 5) + 1, 5) AS quantile FROM
+ (SELECT *, rank() OVER (PARTITION BY date ORDER BY factor) AS rk, count(*) OVER (PARTITION BY date, factor) AS same, count(*) OVER (PARTITION BY date) AS n FROM f))"""
+
+
+def _studied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.with_quantiles(panel.forward_returns(user_panel(spark, sf_dir), (1,)), 5)
+
+
+def panel_forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = panel.forward_returns(user_panel(spark, sf_dir), (1, 3, 5))
+    return _round(rows.select("asset", F.col("d").cast("long").alias("d"), "fwd_1", "fwd_3", "fwd_5"), 5)
+
+
+def panel_information_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ics = panel.information_coefficients(panel.forward_returns(user_panel(spark, sf_dir), (1,)), "fwd_1")
+    return _round(ics.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "n", "ic", "rank_ic"))
+
+
+def panel_ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(panel.ic_summary(panel.information_coefficients(panel.forward_returns(user_panel(spark, sf_dir), (1,)), "fwd_1")), 5)
+
+
+def panel_quantile_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = panel.quantile_returns(_studied(spark, sf_dir), "fwd_1", demean=True)
+    return _round(out.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("quantile").cast("long").alias("quantile"), "mean_return", "n"), 5)
+
+
+def panel_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = panel.quantile_turnover(_studied(spark, sf_dir), 1)
+    return _round(out.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("quantile").cast("long").alias("quantile"), "turnover"))
+
+
+def panel_rank_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = panel.rank_autocorrelation(user_panel(spark, sf_dir), 1)
+    return _round(out.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "autocorrelation"))
+
+
+def panel_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = panel.factor_weights(panel.forward_returns(user_panel(spark, sf_dir), (1,)))
+    grouped = panel.portfolio_returns(panel.factor_weights(panel.forward_returns(user_panel(spark, sf_dir), (1,)), group="grp"), "fwd_1")
+    out = panel.portfolio_returns(rows, "fwd_1").join(grouped.withColumnRenamed("portfolio_return", "group_neutral_return"), "date")
+    return _round(out.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "portfolio_return", "group_neutral_return"), 5)
+
+
+def panel_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = panel.neutralize(panel.winsorize(user_panel(spark, sf_dir), "factor", 0.05, 0.95, "date"), "factor", "price", "date")
+    return _round(rows.select("asset", F.col("d").cast("long").alias("d"), "factor", "residual"))
+
+
+def risk_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = risk.returns(event_bars(spark, sf_dir), "symbol", "ts", "close")
+    return _round(risk.performance(rows, "symbol"), 4)
+
+
+def risk_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(risk.drawdowns(event_bars(spark, sf_dir), "symbol", "ts", "close"))
+
+
+def bars_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(resample(event_bars(spark, sf_dir), "1 day", "D1"))
+
+
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every purchase with the last view of the same user at or before it, split by day."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts", "event_id", F.col("value").cast("double").alias("value"))
+    left = e.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    right = e.filter("event_type = 'view'").select("user_id", "ts", F.col("value").alias("last_view"))
+    return asof.as_of(left, right, ["user_id"], ["last_view"], bucket="day").select("user_id", "event_id", F.round("last_view", 6).alias("last_view"))
+
+
+def exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars with the hourly bar at the same time, if there is one."""
+    hours = event_bars(spark, sf_dir)
+    days = resample(hours, "1 day", "D1").select("symbol", "ts", "close")
+    return _round(asof.exact(days, hours.select("symbol", "ts", F.col("open").alias("first_open")), ["symbol"], ["first_open"]))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (
+        panel_forward_returns, panel_information_coefficients, panel_ic_summary, panel_quantile_returns, panel_turnover, panel_rank_autocorrelation, panel_portfolio,
+        panel_cleaning, risk_performance, risk_drawdown, bars_resampled, asof_join, exact_join,
+    )}
+
+
+_IC_SQL = """ic AS (SELECT date, count(*) AS n, corr(factor, fwd_1) AS ic, corr(rx, ry) AS rank_ic FROM
+ (SELECT *, rank() OVER (PARTITION BY date ORDER BY factor) + (count(*) OVER (PARTITION BY date, factor) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY date ORDER BY fwd_1) + (count(*) OVER (PARTITION BY date, fwd_1) - 1) / 2.0 AS ry FROM f WHERE fwd_1 IS NOT NULL) GROUP BY date)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    bars = f"bars AS ({EVENT_BARS_SQL})"
+    rets = f"{bars}, r AS (SELECT * FROM (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars) WHERE ret IS NOT NULL)"
+    summary = ", ".join(
+        f"round(avg({c}), 5) AS {c}_mean, round(stddev_samp({c}), 5) AS {c}_std, round(avg({c}) / stddev_samp({c}), 5) AS {c}_ir, round(avg({c}) / stddev_samp({c}) * sqrt(count({c})), 5) AS {c}_t, round(avg(CASE WHEN {c} > 0 THEN 1.0 WHEN {c} <= 0 THEN 0.0 END), 5) AS {c}_hit"
+        for c in ("ic", "rank_ic")
+    )
+    return {
+        "panel_forward_returns": f"WITH {PANEL_SQL} SELECT a.asset, a.d, round(a.fwd_1, 5) AS fwd_1, round(b.price / a.price - 1, 5) AS fwd_3, round(c.price / a.price - 1, 5) AS fwd_5 FROM f a LEFT JOIN p b ON a.asset = b.asset AND b.d = a.d + 3 LEFT JOIN p c ON a.asset = c.asset AND c.d = a.d + 5",
+        "panel_information_coefficients": f"WITH {PANEL_SQL}, {_IC_SQL} SELECT CAST(date AS varchar) AS date, n, CASE WHEN n >= 3 THEN round(ic, 6) END AS ic, CASE WHEN n >= 3 THEN round(rank_ic, 6) END AS rank_ic FROM ic",
+        "panel_ic_summary": f"WITH {PANEL_SQL}, {_IC_SQL} SELECT {summary} FROM ic",
+        "panel_quantile_returns": f"WITH {PANEL_SQL} SELECT CAST(date AS varchar) AS date, CAST(quantile AS bigint) AS quantile, round(avg(fwd_1 - m), 5) AS mean_return, count(*) AS n FROM (SELECT *, avg(fwd_1) OVER (PARTITION BY date) AS m FROM q WHERE fwd_1 IS NOT NULL) GROUP BY 1, 2",
+        "panel_turnover": f"WITH {PANEL_SQL} SELECT CAST(a.date AS varchar) AS date, CAST(a.quantile AS bigint) AS quantile, round(avg(CASE WHEN b.asset IS NULL THEN 1.0 ELSE 0.0 END), 6) AS turnover FROM q a LEFT JOIN q b ON a.asset = b.asset AND b.d = a.d - 1 AND b.quantile = a.quantile WHERE a.d > 1 GROUP BY 1, 2",
+        "panel_rank_autocorrelation": f"WITH {PANEL_SQL}, k AS (SELECT asset, date, d, rank() OVER (PARTITION BY date ORDER BY factor) + (count(*) OVER (PARTITION BY date, factor) - 1) / 2.0 AS r FROM p) SELECT CAST(a.date AS varchar) AS date, round(corr(a.r, b.r), 6) AS autocorrelation FROM k a JOIN k b ON a.asset = b.asset AND b.d = a.d - 1 GROUP BY 1 HAVING count(*) >= 3",
+        "panel_portfolio": f"WITH {PANEL_SQL}, a AS (SELECT *, factor - avg(factor) OVER (PARTITION BY date) AS x, factor - avg(factor) OVER (PARTITION BY date, grp) AS y FROM f), b AS (SELECT *, x / sum(abs(x)) OVER (PARTITION BY date) AS w, CASE WHEN sum(abs(y)) OVER (PARTITION BY date, grp) > 1e-15 THEN y / sum(abs(y)) OVER (PARTITION BY date, grp) END AS y1 FROM a), c AS (SELECT *, y1 / sum(abs(y1)) OVER (PARTITION BY date) AS v FROM b) SELECT CAST(date AS varchar) AS date, round(sum(w * coalesce(fwd_1, 0)), 5) AS portfolio_return, round(sum(coalesce(v, 0) * coalesce(fwd_1, 0)), 5) AS group_neutral_return FROM c GROUP BY 1",
+        "panel_cleaning": f"WITH {PANEL_SQL}, b AS (SELECT date, quantile_cont(factor, 0.05) AS lo, quantile_cont(factor, 0.95) AS hi FROM p GROUP BY date), w AS (SELECT p.asset, p.d, p.date, p.price, greatest(lo, least(hi, p.factor)) AS factor FROM p JOIN b ON p.date = b.date), s AS (SELECT *, avg(factor) OVER (PARTITION BY date) AS my, avg(price) OVER (PARTITION BY date) AS mx, var_pop(price) OVER (PARTITION BY date) AS v, covar_pop(factor, price) OVER (PARTITION BY date) AS cv FROM w) SELECT asset, d, round(factor, 6) AS factor, round(factor - my - (CASE WHEN v > 1e-15 THEN cv / v ELSE 0 END) * (price - mx), 6) AS residual FROM s",
+        "risk_performance": f"WITH {rets}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ret) AS at, floor(0.05 * count(*) OVER (PARTITION BY symbol) + 1e-9) AS cut FROM r), m AS (SELECT symbol, avg(ret) AS mu, stddev_pop(ret) AS sd FROM r GROUP BY symbol) SELECT k.symbol, count(*) AS n, round(avg(ret), 4) AS mean_return, round(stddev_samp(ret) * sqrt(252), 4) AS volatility, round(sqrt(avg(least(ret, 0) * least(ret, 0))) * sqrt(252), 4) AS downside_volatility, round(sqrt(avg(greatest(ret, 0) * greatest(ret, 0))) * sqrt(252), 4) AS upside_volatility, round(avg(ret) / stddev_samp(ret) * sqrt(252), 4) AS sharpe, round(avg(ret) / sqrt(avg(least(ret, 0) * least(ret, 0))) * sqrt(252), 4) AS sortino, round(sum(greatest(ret, 0)) / sum(greatest(-ret, 0)), 4) AS omega, round(abs(quantile_cont(ret, 0.95)) / abs(quantile_cont(ret, 0.05)), 4) AS tail_ratio, round(avg(power((ret - mu) / sd, 3)), 4) AS skewness, round(avg(power((ret - mu) / sd, 4)) - 3, 4) AS excess_kurtosis, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 4) AS hit_rate, round(-max(CASE WHEN at = cut + 1 THEN ret END), 4) AS var_historical, round(-avg(CASE WHEN at <= greatest(cut, 1) THEN ret END), 4) AS cvar FROM k JOIN m ON k.symbol = m.symbol GROUP BY k.symbol",
+        "risk_drawdown": f"WITH {bars}, d AS (SELECT symbol, ts, 1 - close / max(close) OVER (PARTITION BY symbol ORDER BY ts) AS dd FROM bars), m AS (SELECT symbol, max(dd) AS mdd FROM d GROUP BY symbol) SELECT m.symbol, round(mdd, 6) AS max_drawdown, min(d.ts) AS trough FROM m JOIN d ON d.symbol = m.symbol AND d.dd = m.mdd GROUP BY m.symbol, mdd",
+        "bars_resampled": f"WITH {bars} SELECT symbol, 'D1' AS timeframe, date_trunc('day', bars.ts) AS ts, round(min_by(open, bars.ts), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(max_by(close, bars.ts), 6) AS close, round(sum(volume), 6) AS volume FROM bars GROUP BY symbol, date_trunc('day', bars.ts)",
+        "asof_join": "WITH l AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts, max(value) AS last_view FROM events WHERE event_type = 'view' GROUP BY user_id, ts) SELECT l.user_id, l.event_id, round(max_by(r.last_view, r.ts), 6) AS last_view FROM l LEFT JOIN r ON l.user_id = r.user_id AND r.ts <= l.ts GROUP BY l.user_id, l.event_id",
+        "exact_join": f"WITH {bars}, d AS (SELECT symbol, date_trunc('day', bars.ts) AS day, max_by(close, bars.ts) AS close FROM bars GROUP BY symbol, date_trunc('day', bars.ts)) SELECT d.symbol, d.day AS ts, round(d.close, 6) AS close, round(b.open, 6) AS first_open FROM d LEFT JOIN bars b ON b.symbol = d.symbol AND b.ts = d.day",
+    }
