@@ -55,20 +55,24 @@ RECURSIVE: dict[str, str] = {
 }
 
 
+#: Decimals of the results where six are not right for the size of the values.
+DIGITS = {"fn_volume": 3, "factors_alpha158_part1": 5}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _formula(FORMULAS["formula_moving_average_cross"])(spark, sf_dir)
 
 
-def _formula(source: str) -> Callable[[SparkSession, str], DataFrame]:
+def _formula(source: str, digits: int = 6) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return eval_formula(event_bars(spark, sf_dir), source, digits=6).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        return eval_formula(event_bars(spark, sf_dir), source, digits=digits).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
     return run
 
 
-def _formula_sql(source: str) -> str:
+def _formula_sql(source: str, digits: int = 6) -> str:
     c = Compiler(dialect=DUCK).compile(source)
-    return c.sql(EVENT_BARS_SQL, c.finish())
+    return c.sql(EVENT_BARS_SQL, c.finish(digits=digits))
 
 
 def registry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +82,10 @@ def registry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: _formula(source) for name, source in (FORMULAS | RECURSIVE).items()}
+    out = {name: _formula(source, DIGITS.get(name, 6)) for name, source in (FORMULAS | RECURSIVE).items()}
     out["function_registry"] = registry_table
     return out | studies.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _formula_sql(source) for name, source in FORMULAS.items()} | studies.oracle_sql()
+    return {name: _formula_sql(source, DIGITS.get(name, 6)) for name, source in FORMULAS.items()} | studies.oracle_sql()

@@ -36,7 +36,7 @@ def _studied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel_forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel.forward_returns(user_panel(spark, sf_dir), (1, 3, 5))
-    return _round(rows.select("asset", F.col("d").cast("long").alias("d"), "fwd_1", "fwd_3", "fwd_5"), 5)
+    return _round(rows.select("asset", F.col("d").cast("long").alias("d"), "fwd_1", "fwd_3", "fwd_5"), 9)
 
 
 def panel_information_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def oracle_sql() -> dict[str, str]:
         for c in ("ic", "rank_ic")
     )
     return {
-        "panel_forward_returns": f"WITH {PANEL_SQL} SELECT a.asset, a.d, round(a.fwd_1, 5) AS fwd_1, round(b.price / a.price - 1, 5) AS fwd_3, round(c.price / a.price - 1, 5) AS fwd_5 FROM f a LEFT JOIN p b ON a.asset = b.asset AND b.d = a.d + 3 LEFT JOIN p c ON a.asset = c.asset AND c.d = a.d + 5",
+        "panel_forward_returns": f"WITH {PANEL_SQL} SELECT a.asset, a.d, round(a.fwd_1, 9) AS fwd_1, round(b.price / a.price - 1, 9) AS fwd_3, round(c.price / a.price - 1, 9) AS fwd_5 FROM f a LEFT JOIN p b ON a.asset = b.asset AND b.d = a.d + 3 LEFT JOIN p c ON a.asset = c.asset AND c.d = a.d + 5",
         "panel_information_coefficients": f"WITH {PANEL_SQL}, {_IC_SQL} SELECT CAST(date AS varchar) AS date, n, CASE WHEN n >= 3 THEN round(ic, 6) END AS ic, CASE WHEN n >= 3 THEN round(rank_ic, 6) END AS rank_ic FROM ic",
         "panel_ic_summary": f"WITH {PANEL_SQL}, {_IC_SQL} SELECT {summary} FROM ic",
         "panel_quantile_returns": f"WITH {PANEL_SQL} SELECT CAST(date AS varchar) AS date, CAST(quantile AS bigint) AS quantile, round(avg(fwd_1 - m), 5) AS mean_return, count(*) AS n FROM (SELECT *, avg(fwd_1) OVER (PARTITION BY date) AS m FROM q WHERE fwd_1 IS NOT NULL) GROUP BY 1, 2",
@@ -131,7 +131,7 @@ def oracle_sql() -> dict[str, str]:
         "panel_rank_autocorrelation": f"WITH {PANEL_SQL}, k AS (SELECT asset, date, d, rank() OVER (PARTITION BY date ORDER BY factor) + (count(*) OVER (PARTITION BY date, factor) - 1) / 2.0 AS r FROM p) SELECT CAST(a.date AS varchar) AS date, round(corr(a.r, b.r), 6) AS autocorrelation FROM k a JOIN k b ON a.asset = b.asset AND b.d = a.d - 1 GROUP BY 1 HAVING count(*) >= 3",
         "panel_portfolio": f"WITH {PANEL_SQL}, a AS (SELECT *, factor - avg(factor) OVER (PARTITION BY date) AS x, factor - avg(factor) OVER (PARTITION BY date, grp) AS y FROM f), b AS (SELECT *, x / sum(abs(x)) OVER (PARTITION BY date) AS w, CASE WHEN sum(abs(y)) OVER (PARTITION BY date, grp) > 1e-15 THEN y / sum(abs(y)) OVER (PARTITION BY date, grp) END AS y1 FROM a), c AS (SELECT *, y1 / sum(abs(y1)) OVER (PARTITION BY date) AS v FROM b) SELECT CAST(date AS varchar) AS date, round(sum(w * coalesce(fwd_1, 0)), 5) AS portfolio_return, round(sum(coalesce(v, 0) * coalesce(fwd_1, 0)), 5) AS group_neutral_return FROM c GROUP BY 1",
         "panel_cleaning": f"WITH {PANEL_SQL}, b AS (SELECT date, quantile_cont(factor, 0.05) AS lo, quantile_cont(factor, 0.95) AS hi FROM p GROUP BY date), w AS (SELECT p.asset, p.d, p.date, p.price, greatest(lo, least(hi, p.factor)) AS factor FROM p JOIN b ON p.date = b.date), s AS (SELECT *, avg(factor) OVER (PARTITION BY date) AS my, avg(price) OVER (PARTITION BY date) AS mx, var_pop(price) OVER (PARTITION BY date) AS v, covar_pop(factor, price) OVER (PARTITION BY date) AS cv FROM w) SELECT asset, d, round(factor, 6) AS factor, round(factor - my - (CASE WHEN v > 1e-15 THEN cv / v ELSE 0 END) * (price - mx), 6) AS residual FROM s",
-        "risk_performance": f"WITH {rets}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ret) AS at, floor(0.05 * count(*) OVER (PARTITION BY symbol) + 1e-9) AS cut FROM r), m AS (SELECT symbol, avg(ret) AS mu, stddev_pop(ret) AS sd FROM r GROUP BY symbol) SELECT k.symbol, count(*) AS n, round(avg(ret), 4) AS mean_return, round(stddev_samp(ret) * sqrt(252), 4) AS volatility, round(sqrt(avg(least(ret, 0) * least(ret, 0))) * sqrt(252), 4) AS downside_volatility, round(sqrt(avg(greatest(ret, 0) * greatest(ret, 0))) * sqrt(252), 4) AS upside_volatility, round(avg(ret) / stddev_samp(ret) * sqrt(252), 4) AS sharpe, round(avg(ret) / sqrt(avg(least(ret, 0) * least(ret, 0))) * sqrt(252), 4) AS sortino, round(sum(greatest(ret, 0)) / sum(greatest(-ret, 0)), 4) AS omega, round(abs(quantile_cont(ret, 0.95)) / abs(quantile_cont(ret, 0.05)), 4) AS tail_ratio, round(avg(power((ret - mu) / sd, 3)), 4) AS skewness, round(avg(power((ret - mu) / sd, 4)) - 3, 4) AS excess_kurtosis, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 4) AS hit_rate, round(-max(CASE WHEN at = cut + 1 THEN ret END), 4) AS var_historical, round(-avg(CASE WHEN at <= greatest(cut, 1) THEN ret END), 4) AS cvar FROM k JOIN m ON k.symbol = m.symbol GROUP BY k.symbol",
+        "risk_performance": f"WITH {rets}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ret) AS pos, floor(0.05 * count(*) OVER (PARTITION BY symbol) + 1e-9) AS cut FROM r), m AS (SELECT symbol, avg(ret) AS mu, stddev_pop(ret) AS sd FROM r GROUP BY symbol) SELECT k.symbol, count(*) AS n, round(avg(ret), 4) AS mean_return, round(stddev_samp(ret) * sqrt(252), 4) AS volatility, round(sqrt(avg(least(ret, 0) * least(ret, 0))) * sqrt(252), 4) AS downside_volatility, round(sqrt(avg(greatest(ret, 0) * greatest(ret, 0))) * sqrt(252), 4) AS upside_volatility, round(avg(ret) / stddev_samp(ret) * sqrt(252), 4) AS sharpe, round(avg(ret) / sqrt(avg(least(ret, 0) * least(ret, 0))) * sqrt(252), 4) AS sortino, round(sum(greatest(ret, 0)) / sum(greatest(-ret, 0)), 4) AS omega, round(abs(quantile_cont(ret, 0.95)) / abs(quantile_cont(ret, 0.05)), 4) AS tail_ratio, round(avg(power((ret - mu) / sd, 3)), 4) AS skewness, round(avg(power((ret - mu) / sd, 4)) - 3, 4) AS excess_kurtosis, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 4) AS hit_rate, round(-max(CASE WHEN pos = cut + 1 THEN ret END), 4) AS var_historical, round(-avg(CASE WHEN pos <= greatest(cut, 1) THEN ret END), 4) AS cvar FROM k JOIN m ON k.symbol = m.symbol GROUP BY k.symbol",
         "risk_drawdown": f"WITH {bars}, d AS (SELECT symbol, ts, 1 - close / max(close) OVER (PARTITION BY symbol ORDER BY ts) AS dd FROM bars), m AS (SELECT symbol, max(dd) AS mdd FROM d GROUP BY symbol) SELECT m.symbol, round(mdd, 6) AS max_drawdown, min(d.ts) AS trough FROM m JOIN d ON d.symbol = m.symbol AND d.dd = m.mdd GROUP BY m.symbol, mdd",
         "bars_resampled": f"WITH {bars} SELECT symbol, 'D1' AS timeframe, date_trunc('day', bars.ts) AS ts, round(min_by(open, bars.ts), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(max_by(close, bars.ts), 6) AS close, round(sum(volume), 6) AS volume FROM bars GROUP BY symbol, date_trunc('day', bars.ts)",
         "asof_join": "WITH l AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts, max(value) AS last_view FROM events WHERE event_type = 'view' GROUP BY user_id, ts) SELECT l.user_id, l.event_id, round(max_by(r.last_view, r.ts), 6) AS last_view FROM l LEFT JOIN r ON l.user_id = r.user_id AND r.ts <= l.ts GROUP BY l.user_id, l.event_id",
