@@ -10,11 +10,13 @@ functions close a stage with one grouped kernel that runs all of that stage's re
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 from tidemark.functions.registry import REGISTRY
 
 MAX_SOURCE, MAX_DEPTH, MAX_LOOP = 1 << 20, 256, 10_000
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * MAX_DEPTH))  # a level of the formula takes some frames
 MARKET = {"OPEN": "open", "O": "open", "HIGH": "high", "H": "high", "LOW": "low", "L": "low", "CLOSE": "close", "C": "close", "VOL": "volume", "V": "volume", "VOLUME": "volume", "AMOUNT": "amount"}
 
 _TOKEN = re.compile(
