@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import oracles
 from tidemark.llm.importance import resample
 from tidemark.llm.line_quality import clean_documents
 from tidemark.llm.media import document_media
@@ -83,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_suffix_array_dedup": oracles.REPEATED, "op8_secret_scan": oracles.secret_scan(), "op10_minhash_near_dedup": oracles.NEAR_DUP}
