@@ -286,8 +286,219 @@ def _engulfing(b):
     return b.cases((both_up, [*up, *wide_up, ends_up]), (both_down, [*down, *wide_down, ends_down]))
 
 
+def _about(b, x: str, y: str, setting: str, back: int) -> str:
+    e = b.limit(setting, back)
+    return f"{x} <= {y} + {e} AND {x} >= {y} - {e}"
+
+
+@pattern("CDLRICKSHAWMAN")
+def _rickshaw_man(b):
+    near = b.limit("near")
+    middle = f"({b.price('l')} + {b.span()} / 2e0)"
+    return b.cases((100, [f"{b.body()} <= {b.limit('body_doji')}", f"{b.lower()} > {b.limit('shadow_long')}", f"{b.upper()} > {b.limit('shadow_long')}", f"{b.bottom()} <= {middle} + {near}", f"{b.top()} >= {middle} - {near}"]))
+
+
+@pattern("CDL3BLACKCROWS")
+def _three_black_crows(b):
+    falls = [t for k in (2, 1, 0) for t in (b.black(k), f"{b.lower(k)} < {b.limit('shadow_very_short', k)}")]
+    steps = [t for k in (1, 0) for t in (f"{b.price('o', k)} < {b.price('o', k + 1)}", f"{b.price('o', k)} > {b.price('c', k + 1)}", f"{b.price('c', k + 1)} > {b.price('c', k)}")]
+    return b.cases((-100, [b.white(3), f"{b.price('h', 3)} > {b.price('c', 2)}", *falls, *steps]))
+
+
+@pattern("CDLIDENTICAL3CROWS")
+def _identical_three_crows(b):
+    falls = [t for k in (2, 1, 0) for t in (b.black(k), f"{b.lower(k)} < {b.limit('shadow_very_short', k)}")]
+    opens = [_about(b, b.price("o", k), b.price("c", k + 1), "equal", k + 1) for k in (1, 0)]
+    return b.cases((-100, [*falls, *opens, f"{b.price('c', 2)} > {b.price('c', 1)}", f"{b.price('c', 1)} > {b.price('c')}"]))
+
+
+def _rising(b) -> list[str]:
+    return [b.white(2), b.white(1), b.white(), f"{b.price('c')} > {b.price('c', 1)}", f"{b.price('c', 1)} > {b.price('c', 2)}"]
+
+
+@pattern("CDL3WHITESOLDIERS")
+def _three_white_soldiers(b):
+    short = [f"{b.upper(k)} < {b.limit('shadow_very_short', k)}" for k in (2, 1, 0)]
+    opens = [t for k in (1, 0) for t in (f"{b.price('o', k)} > {b.price('o', k + 1)}", f"{b.price('o', k)} <= {b.price('c', k + 1)} + {b.limit('near', k + 1)}")]
+    sizes = [f"{b.body(k)} > {b.body(k + 1)} - {b.limit('far', k + 1)}" for k in (1, 0)]
+    return b.cases((100, [*_rising(b), *short, *opens, *sizes, f"{b.body()} > {b.limit('body_short')}"]))
+
+
+@pattern("CDLADVANCEBLOCK")
+def _advance_block(b):
+    opens = [t for k in (1, 0) for t in (f"{b.price('o', k)} > {b.price('o', k + 1)}", f"{b.price('o', k)} <= {b.price('c', k + 1)} + {b.limit('near', k + 1)}")]
+    first = [f"{b.body(2)} > {b.limit('body_long', 2)}", f"{b.upper(2)} < {b.limit('shadow_short', 2)}"]
+    weak = [
+        f"({b.body(1)} < {b.body(2)} - {b.limit('far', 2)} AND {b.body()} < {b.body(1)} + {b.limit('near', 1)})",
+        f"{b.body()} < {b.body(1)} - {b.limit('far', 1)}",
+        f"({b.body()} < {b.body(1)} AND {b.body(1)} < {b.body(2)} AND ({b.upper()} > {b.limit('shadow_short')} OR {b.upper(1)} > {b.limit('shadow_short', 1)}))",
+        f"({b.body()} < {b.body(1)} AND {b.upper()} > {b.limit('shadow_long')})",
+    ]
+    return b.cases((-100, [*_rising(b), *opens, *first, f"({' OR '.join(weak)})"]))
+
+
+@pattern("CDLSTALLEDPATTERN")
+def _stalled(b):
+    return b.cases((-100, [
+        *_rising(b), f"{b.body(2)} > {b.limit('body_long', 2)}", f"{b.body(1)} > {b.limit('body_long', 1)}", f"{b.upper(1)} < {b.limit('shadow_very_short', 1)}",
+        f"{b.price('o', 1)} > {b.price('o', 2)}", f"{b.price('o', 1)} <= {b.price('c', 2)} + {b.limit('near', 2)}", f"{b.body()} < {b.limit('body_short')}",
+        f"{b.price('o')} >= {b.price('c', 1)} - {b.body()} - {b.limit('near', 1)}",
+    ]))
+
+
+@pattern("CDL3LINESTRIKE")
+def _three_line_strike(b):
+    def inside(k):
+        e = b.limit("near", k + 1)
+        return f"{b.price('o', k)} >= {b.bottom(k + 1)} - {e} AND {b.price('o', k)} <= {b.top(k + 1)} + {e}"
+
+    up = [b.white(3), b.white(2), b.white(1), b.black(), inside(2), inside(1), f"{b.price('c', 1)} > {b.price('c', 2)}", f"{b.price('c', 2)} > {b.price('c', 3)}", f"{b.price('o')} > {b.price('c', 1)}", f"{b.price('c')} < {b.price('o', 3)}"]
+    down = [b.black(3), b.black(2), b.black(1), b.white(), inside(2), inside(1), f"{b.price('c', 1)} < {b.price('c', 2)}", f"{b.price('c', 2)} < {b.price('c', 3)}", f"{b.price('o')} < {b.price('c', 1)}", f"{b.price('c')} > {b.price('o', 3)}"]
+    return b.cases((100, up), (-100, down))
+
+
+@pattern("CDL3STARSINSOUTH")
+def _three_stars(b):
+    return b.cases((100, [
+        b.black(2), b.black(1), b.black(), f"{b.body(2)} > {b.limit('body_long', 2)}", f"{b.lower(2)} > {b.limit('shadow_long', 2)}", f"{b.body(1)} < {b.body(2)}",
+        f"{b.price('o', 1)} > {b.price('c', 2)}", f"{b.price('o', 1)} <= {b.price('h', 2)}", f"{b.price('l', 1)} < {b.price('c', 2)}", f"{b.price('l', 1)} >= {b.price('l', 2)}",
+        f"{b.lower(1)} > {b.limit('shadow_very_short', 1)}", f"{b.body()} < {b.limit('body_short')}", f"{b.lower()} < {b.limit('shadow_very_short')}", f"{b.upper()} < {b.limit('shadow_very_short')}",
+        f"{b.price('l')} > {b.price('l', 1)}", f"{b.price('h')} < {b.price('h', 1)}",
+    ]))
+
+
+def _star(b, up: bool, star: list[str], depth: float) -> tuple:
+    first, last = (b.white(2), b.black()) if up else (b.black(2), b.white())
+    deep = f"{b.price('c')} < {b.price('c', 2)} - {b.body(2)} * {depth!r}e0" if up else f"{b.price('c')} > {b.price('c', 2)} + {b.body(2)} * {depth!r}e0"
+    return (-100 if up else 100, [f"{b.body(2)} > {b.limit('body_long', 2)}", first, f"{b.body(1)} <= {b.limit('body_doji', 1)}", *star, f"{b.body()} > {b.limit('body_short')}", last, deep])
+
+
+@pattern("CDLEVENINGDOJISTAR")
+def _evening_doji_star(b):
+    return b.cases(_star(b, True, [b.gap_up(1, 2)], 0.3))
+
+
+@pattern("CDLMORNINGDOJISTAR")
+def _morning_doji_star(b):
+    return b.cases(_star(b, False, [b.gap_down(1, 2)], 0.3))
+
+
+@pattern("CDLABANDONEDBABY")
+def _abandoned_baby(b):
+    above = [f"{b.price('l', 1)} > {b.price('h', 2)}", f"{b.price('h')} < {b.price('l', 1)}"]
+    below = [f"{b.price('h', 1)} < {b.price('l', 2)}", f"{b.price('l')} > {b.price('h', 1)}"]
+    return b.cases(_star(b, True, above, 0.3), _star(b, False, below, 0.3))
+
+
+@pattern("CDLCOUNTERATTACK")
+def _counterattack(b):
+    big = [f"{b.body(1)} > {b.limit('body_long', 1)}", f"{b.body()} > {b.limit('body_long')}", _about(b, b.price("c"), b.price("c", 1), "equal", 1)]
+    return b.cases((100, [b.black(1), b.white(), *big]), (-100, [b.white(1), b.black(), *big]))
+
+
+@pattern("CDLSEPARATINGLINES")
+def _separating_lines(b):
+    same = [_about(b, b.price("o"), b.price("o", 1), "equal", 1), f"{b.body()} > {b.limit('body_long')}"]
+    return b.cases((100, [b.black(1), b.white(), *same, f"{b.lower()} < {b.limit('shadow_very_short')}"]), (-100, [b.white(1), b.black(), *same, f"{b.upper()} < {b.limit('shadow_very_short')}"]))
+
+
+def _neck(b, *last: str):
+    return b.cases((-100, [b.black(1), f"{b.body(1)} > {b.limit('body_long', 1)}", b.white(), f"{b.price('o')} < {b.price('l', 1)}", *last]))
+
+
+@pattern("CDLINNECK")
+def _in_neck(b):
+    return _neck(b, f"{b.price('c')} <= {b.price('c', 1)} + {b.limit('equal', 1)}", f"{b.price('c')} >= {b.price('c', 1)}")
+
+
+@pattern("CDLONNECK")
+def _on_neck(b):
+    return _neck(b, _about(b, b.price("c"), b.price("l", 1), "equal", 1))
+
+
+@pattern("CDLTHRUSTING")
+def _thrusting(b):
+    return _neck(b, f"{b.price('c')} > {b.price('c', 1)} + {b.limit('equal', 1)}", f"{b.price('c')} <= {b.price('c', 1)} + {b.body(1)} * 5e-1")
+
+
+def _kicks(b) -> list[str]:
+    bare = [f"{side(k)} < {b.limit('shadow_very_short', k)}" for k in (1, 0) for side in (b.upper, b.lower)]
+    gap = f"(({b.black(1)} AND {b.white()} AND {b.price('l')} > {b.price('h', 1)}) OR ({b.white(1)} AND {b.black()} AND {b.price('h')} < {b.price('l', 1)}))"
+    return [f"{b.body(1)} > {b.limit('body_long', 1)}", f"{b.body()} > {b.limit('body_long')}", *bare, gap]
+
+
+@pattern("CDLKICKING")
+def _kicking(b):
+    return b.cases((b.colour(), _kicks(b)))
+
+
+@pattern("CDLKICKINGBYLENGTH")
+def _kicking_by_length(b):
+    return b.cases((f"CASE WHEN {b.body()} > {b.body(1)} THEN {b.colour()} ELSE {b.colour(1)} END", _kicks(b)))
+
+
+@pattern("CDLGAPSIDESIDEWHITE")
+def _side_by_side_white(b):
+    alike = [b.white(1), b.white(), _about(b, b.body(), b.body(1), "near", 1), _about(b, b.price("o"), b.price("o", 1), "equal", 1)]
+    return b.cases((100, [b.gap_up(1, 2), b.gap_up(0, 2), *alike]), (-100, [b.gap_down(1, 2), b.gap_down(0, 2), *alike]))
+
+
+@pattern("CDLTASUKIGAP")
+def _tasuki_gap(b):
+    e = b.limit("near", 1)
+    alike = f"abs({b.body(1)} - {b.body()}) < {e}"
+    up = [b.gap_up(1, 2), b.white(1), b.black(), f"{b.price('o')} < {b.price('c', 1)}", f"{b.price('o')} > {b.price('o', 1)}", f"{b.price('c')} < {b.price('o', 1)}", f"{b.price('c')} > {b.top(2)}", alike]
+    down = [b.gap_down(1, 2), b.black(1), b.white(), f"{b.price('o')} < {b.price('o', 1)}", f"{b.price('o')} > {b.price('c', 1)}", f"{b.price('c')} > {b.price('o', 1)}", f"{b.price('c')} < {b.bottom(2)}", alike]
+    return b.cases((100, up), (-100, down))
+
+
+@pattern("CDLXSIDEGAP3METHODS")
+def _gap_three_methods(b):
+    within = [f"{b.price('o')} < {b.top(1)}", f"{b.price('o')} > {b.bottom(1)}", f"{b.price('c')} < {b.top(2)}", f"{b.price('c')} > {b.bottom(2)}"]
+    return b.cases((100, [b.white(2), b.white(1), b.black(), *within, b.gap_up(1, 2)]), (-100, [b.black(2), b.black(1), b.white(), *within, b.gap_down(1, 2)]))
+
+
+@pattern("CDLSTICKSANDWICH")
+def _stick_sandwich(b):
+    return b.cases((100, [b.black(2), b.white(1), b.black(), f"{b.price('l', 1)} > {b.price('c', 2)}", _about(b, b.price("c"), b.price("c", 2), "equal", 2)]))
+
+
+@pattern("CDLUNIQUE3RIVER")
+def _unique_three_river(b):
+    return b.cases((100, [
+        f"{b.body(2)} > {b.limit('body_long', 2)}", b.black(2), b.black(1), f"{b.price('c', 1)} > {b.price('c', 2)}", f"{b.price('o', 1)} <= {b.price('o', 2)}", f"{b.price('l', 1)} < {b.price('l', 2)}",
+        f"{b.body()} < {b.limit('body_short')}", b.white(), f"{b.price('o')} > {b.price('l', 1)}",
+    ]))
+
+
+@pattern("CDLLADDERBOTTOM")
+def _ladder_bottom(b):
+    falls = [b.black(4), b.black(3), b.black(2), f"{b.price('o', 4)} > {b.price('o', 3)}", f"{b.price('o', 3)} > {b.price('o', 2)}", f"{b.price('c', 4)} > {b.price('c', 3)}", f"{b.price('c', 3)} > {b.price('c', 2)}"]
+    return b.cases((100, [*falls, b.black(1), f"{b.upper(1)} > {b.limit('shadow_very_short', 1)}", b.white(), f"{b.price('o')} > {b.price('o', 1)}", f"{b.price('c')} > {b.price('h', 1)}"]))
+
+
+@pattern("CDLCONCEALBABYSWALL")
+def _concealing_baby(b):
+    bare = [f"{side(k)} < {b.limit('shadow_very_short', k)}" for k in (3, 2) for side in (b.upper, b.lower)]
+    return b.cases((100, [
+        b.black(3), b.black(2), b.black(1), b.black(), *bare, b.gap_down(1, 2), f"{b.upper(1)} > {b.limit('shadow_very_short', 1)}", f"{b.price('h', 1)} > {b.price('c', 2)}",
+        f"{b.price('h')} > {b.price('h', 1)}", f"{b.price('l')} < {b.price('l', 1)}",
+    ]))
+
+
+@pattern("CDLBREAKAWAY")
+def _breakaway(b):
+    big = f"{b.body(4)} > {b.limit('body_long', 4)}"
+    down = [big, b.black(4), b.black(3), b.black(1), b.white(), b.gap_down(3, 4), f"{b.price('h', 2)} < {b.price('h', 3)}", f"{b.price('l', 2)} < {b.price('l', 3)}", f"{b.price('h', 1)} < {b.price('h', 2)}", f"{b.price('l', 1)} < {b.price('l', 2)}", f"{b.price('c')} > {b.price('o', 3)}", f"{b.price('c')} < {b.price('c', 4)}"]
+    up = [big, b.white(4), b.white(3), b.white(1), b.black(), b.gap_up(3, 4), f"{b.price('h', 2)} > {b.price('h', 3)}", f"{b.price('l', 2)} > {b.price('l', 3)}", f"{b.price('h', 1)} > {b.price('h', 2)}", f"{b.price('l', 1)} > {b.price('l', 2)}", f"{b.price('c')} < {b.price('o', 3)}", f"{b.price('c')} > {b.price('c', 4)}"]
+    return b.cases((100, down), (-100, up))
+
+
 PATTERNS = (
     "CDLDOJI", "CDLLONGLEGGEDDOJI", "CDLDRAGONFLYDOJI", "CDLGRAVESTONEDOJI", "CDLTAKURI", "CDLMARUBOZU", "CDLCLOSINGMARUBOZU", "CDLBELTHOLD", "CDLLONGLINE", "CDLSHORTLINE",
     "CDLSPINNINGTOP", "CDLHIGHWAVE", "CDLHAMMER", "CDLHANGINGMAN", "CDLINVERTEDHAMMER", "CDLSHOOTINGSTAR", "CDLHARAMI", "CDLHARAMICROSS", "CDLDOJISTAR", "CDLPIERCING",
     "CDLDARKCLOUDCOVER", "CDLHOMINGPIGEON", "CDLMATCHINGLOW", "CDL3INSIDE", "CDL3OUTSIDE", "CDLMORNINGSTAR", "CDLEVENINGSTAR", "CDLUPSIDEGAP2CROWS", "CDL2CROWS", "CDLTRISTAR", "CDLENGULFING",
+    "CDLRICKSHAWMAN", "CDL3BLACKCROWS", "CDLIDENTICAL3CROWS", "CDL3WHITESOLDIERS", "CDLADVANCEBLOCK", "CDLSTALLEDPATTERN", "CDL3LINESTRIKE", "CDL3STARSINSOUTH", "CDLEVENINGDOJISTAR", "CDLMORNINGDOJISTAR",
+    "CDLABANDONEDBABY", "CDLCOUNTERATTACK", "CDLSEPARATINGLINES", "CDLINNECK", "CDLONNECK", "CDLTHRUSTING", "CDLKICKING", "CDLKICKINGBYLENGTH", "CDLGAPSIDESIDEWHITE", "CDLTASUKIGAP",
+    "CDLXSIDEGAP3METHODS", "CDLSTICKSANDWICH", "CDLUNIQUE3RIVER", "CDLLADDERBOTTOM", "CDLCONCEALBABYSWALL", "CDLBREAKAWAY",
 )

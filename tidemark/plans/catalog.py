@@ -40,7 +40,8 @@ FORMULAS: dict[str, str] = {
 }
 
 FORMULAS["fn_candles_one_bar"] = " ".join(f"F_{p[3:]} : {p}(O, H, L, C);" for p in candles.PATTERNS[:16])
-FORMULAS["fn_candles_more_bars"] = " ".join(f"F_{p[3:]} : {p}(O, H, L, C);" for p in candles.PATTERNS[16:])
+FORMULAS["fn_candles_more_bars"] = " ".join(f"F_{p[3:]} : {p}(O, H, L, C);" for p in candles.PATTERNS[16:31])
+FORMULAS["fn_candles_long_patterns"] = " ".join(f"F_{p[3:]} : {p}(O, H, L, C);" for p in candles.PATTERNS[31:])
 _NAMES = tuple(alpha.FAMILIES)
 FORMULAS["factors_alpha158_shapes"] = alpha.alpha158((), (), True)
 for _i, _part in enumerate((_NAMES[:8], _NAMES[8:15], _NAMES[15:23], _NAMES[23:])):
