@@ -65,3 +65,31 @@ def alpha158(windows: tuple[int, ...] = WINDOWS, families: tuple[str, ...] = tup
     parts = [f"F_{k} : {v};" for k, v in FIXED.items()] if fixed else []
     parts += [f"F_{k}{n} : {v.format(n=n)};" for k, v in FAMILIES.items() if k in families for n in windows]
     return PRELUDE + " ".join(parts)
+
+
+#: The formulaic alphas of the published list of 101 that need one series only. VW stands for the volume-weighted price.
+ALPHA101 = {
+    6: "-1 * CORREL(O, V, 10)",
+    7: "IF(MA(V, 20) < V, -1 * RANK_PCT(ABS(MOM(C, 7)), 60) * SIGN(MOM(C, 7)), -1)",
+    9: "IF(0 < LLV(D, 5), D, IF(HHV(D, 5) < 0, D, -1 * D))",
+    12: "-1 * SIGN(V - REF(V, 1)) * D",
+    21: "IF(MA(C, 8) + STDDEV_SAMPLE(C, 8) < MA(C, 2), -1, IF(MA(C, 2) < MA(C, 8) - STDDEV_SAMPLE(C, 8), 1, IF(V / MA(V, 20) >= 1, 1, -1)))",
+    23: "IF(MA(H, 20) < H, -1 * MOM(H, 2), 0)",
+    24: "IF(MOM(MA(C, 100), 100) / REF(C, 100) <= 0.05, -1 * (C - LLV(C, 100)), -1 * MOM(C, 3))",
+    26: "-1 * HHV(CORREL(RANK_PCT(V, 5), RANK_PCT(H, 5), 5), 3)",
+    35: "RANK_PCT(V, 32) * (1 - RANK_PCT(C + H - L, 16)) * (1 - RANK_PCT(C / REF(C, 1) - 1, 32))",
+    41: "(H * L) ^ 0.5 - VW",
+    43: "RANK_PCT(V / MA(V, 20), 20) * RANK_PCT(-1 * MOM(C, 7), 8)",
+    46: "IF(0.25 < BEND, -1, IF(BEND < 0, 1, -1 * D))",
+    49: "IF(BEND < -0.1, 1, -1 * D)",
+    51: "IF(BEND < -0.05, 1, -1 * D)",
+    53: "-1 * MOM((2 * C - L - H) / (C - L), 9)",
+    54: "-1 * (L - C) * O ^ 5 / ((L - H) * C ^ 5)",
+    101: "(C - O) / (H - L + 0.001)",
+}
+
+
+def alpha101(numbers: tuple[int, ...] = tuple(ALPHA101)) -> str:
+    """Some of the alphas as one formula, an output each."""
+    shared = "D := C - REF(C, 1); VW := VWAP(H, L, C, V); BEND := (REF(C, 20) - REF(C, 10)) / 10 - (REF(C, 10) - C) / 10; "
+    return shared + " ".join(f"ALPHA{n} : {ALPHA101[n]};" for n in numbers)

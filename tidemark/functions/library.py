@@ -311,6 +311,18 @@ def _last(c, x, a, b):
     return c.join(f"CASE WHEN count(*) {w} = {hi - lo + 1} THEN min({ok.text}) {w} END", ok, over=True)
 
 
+@function("APO", "W", (1, 3))
+def _apo(c, x, a=None, b=None):
+    p, q = c.call("MA", [x, a or c.number(12)]), c.call("MA", [x, b or c.number(26)])
+    return c.join(f"(({p.text}) - ({q.text}))", p, q)
+
+
+@function("PPO", "W", (1, 3))
+def _ppo(c, x, a=None, b=None):
+    d, q = c.call("APO", [x, a or c.number(12), b or c.number(26)]), c.col(c.call("MA", [x, b or c.number(26)]))
+    return c.join(f"CASE WHEN abs({q.text}) > 1e-8 THEN ({d.text}) / {q.text} * 100e0 END", d, q)
+
+
 @function("BIAS", "W", 2)
 def _bias(c, x, n):
     m = c.col(c.call("MA", [x, n]))
@@ -975,3 +987,70 @@ _recursive("TRIX", "trix", 1, (12,))
 _recursive("KAMA", "kama", 1, (10,))
 _recursive("NVI", "nvi", 2, ())
 _recursive("PVI", "pvi", 2, ())
+_recursive("HEIKIN_OPEN", "heikin", 4, ())
+_recursive("HEIKIN_CLOSE", "heikin", 4, (), part=1)
+_recursive("SUPERTREND", "supertrend", 3, (10, 3))
+_recursive("SUPERTREND_DIR", "supertrend", 3, (10, 3), part=1)
+_recursive("T3", "t3", 1, (5, 0.7))
+_recursive("CMO_WILDER", "cmo", 1, (14,))
+_recursive("ADOSC_OF_AD", "adosc", 1, (3, 10))
+
+
+def _composed(name: str, args: tuple[int, int], aliases: tuple[str, ...] = ()):
+    return function(name, "R", args, aliases)
+
+
+@_composed("NATR", (3, 4))
+def _natr(c, h, low, cl, n=None):
+    return c.join(f"({c.div(c.call('ATR', [h, low, cl, n or c.number(14)]), c.col(cl)).text}) * 100e0", c.call("ATR", [h, low, cl, n or c.number(14)]), c.col(cl))
+
+
+@_composed("ADXR", (3, 4))
+def _adxr(c, h, low, cl, n=None):
+    k = c.int(n) if n else 14
+    a = c.call("ADX", [h, low, cl, c.number(k)])
+    b = c.col(c.lag(a, k - 1))
+    return c.join(f"({a.text} + {b.text}) / 2e0", a, b)
+
+
+@_composed("ADOSC", (4, 6))
+def _adosc(c, h, low, cl, v, a=None, b=None):
+    return c.call("ADOSC_OF_AD", [c.call("AD", [h, low, cl, v]), a or c.number(3), b or c.number(10)])
+
+
+@_composed("EFI", (2, 3))
+def _efi(c, cl, v, n=None):
+    d = c.call("MOM", [cl, c.number(1)])
+    return c.call("EMA", [c.join(f"({d.text}) * ({v.text})", d, v), n or c.number(13)])
+
+
+@_composed("ZLEMA", (1, 2))
+def _zlema(c, x, n=None):
+    n = n or c.number(12)
+    p = c.col(c.lag(c.col(x), (c.int(n) - 1) // 2))
+    return c.call("EMA", [c.join(f"2e0 * ({x.text}) - {p.text}", x, p), n])
+
+
+@_composed("MASS", (2, 4))
+def _mass(c, h, low, n=None, m=None):
+    e = c.call("EMA", [c.join(f"({h.text}) - ({low.text})", h, low), n or c.number(9)])
+    return c.call("SUM", [c.div(e, c.call("EMA", [e, n or c.number(9)])), m or c.number(25)])
+
+
+@_composed("TSI", (1, 3))
+def _tsi(c, x, slow=None, fast=None):
+    d = c.col(c.call("MOM", [x, c.number(1)]))
+    a, b = (c.call("EMA", [c.call("EMA", [y, slow or c.number(25)]), fast or c.number(13)]) for y in (d, c.col(c.call("ABS", [d]))))
+    return c.join(f"CASE WHEN abs({b.text}) > 1e-8 THEN 100e0 * {a.text} / {b.text} END", a, b)
+
+
+@_composed("STOCHRSI", (1, 3))
+def _stochrsi(c, x, n=None, k=None):
+    r = c.call("RSI", [x, n or c.number(14)])
+    return c.call("STOCHF", [r, r, r, k or c.number(14)])
+
+
+@function("COPPOCK", "A", (1, 4))
+def _coppock(c, x, a=None, b=None, n=None):
+    p, q = c.call("ROC", [x, a or c.number(14)]), c.call("ROC", [x, b or c.number(11)])
+    return c.call("WMA", [c.join(f"({p.text}) + ({q.text})", p, q), n or c.number(10)])

@@ -250,7 +250,60 @@ def pvi(c: np.ndarray, v: np.ndarray) -> np.ndarray:
     return _volume_index(c, v, 1)
 
 
-KERNELS: dict[str, Callable] = {f.__name__: f for f in (ema, rma, sma, dma, dema, tema, trix, rsi, macd, atr, dmi, kdj, sar, kama, nvi, pvi)}
+def heikin(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Averaged candles: the close is the mean of the bar, the open the mean of the last averaged open and close."""
+    close, opening = (o + h + low + c) / 4, _empty(len(c))
+    for i in range(len(c)):
+        opening[i] = (o[0] + c[0]) / 2 if i == 0 else (opening[i - 1] + close[i - 1]) / 2
+    return opening, close
+
+
+def supertrend(h: np.ndarray, low: np.ndarray, c: np.ndarray, n: float, k: float) -> tuple[np.ndarray, ...]:
+    """The trailing band and its direction (1 up, -1 down); bands only move towards the price while it stays inside."""
+    width, mid = atr(h, low, c, n), (h + low) / 2
+    line, direction = _empty(len(c)), _empty(len(c))
+    up = dn = NAN
+    d = 1.0
+    for i in range(len(c)):
+        if width[i] != width[i]:
+            continue
+        a, b = mid[i] + k * width[i], mid[i] - k * width[i]
+        if up == up:
+            a = a if a < up or c[i - 1] > up else up
+            b = b if b > dn or c[i - 1] < dn else dn
+            d = 1.0 if c[i] > up else -1.0 if c[i] < dn else d
+        up, dn = a, b
+        line[i], direction[i] = (dn if d > 0 else up), d
+    return line, direction
+
+
+def t3(x: np.ndarray, n: float, v: float) -> np.ndarray:
+    e = [ema(x, n)]
+    for _ in range(5):
+        e.append(_tail(e[-1], ema, n))
+    return -(v**3) * e[5] + 3 * (v**2 + v**3) * e[4] - 3 * (2 * v**2 + v + v**3) * e[3] + (1 + 3 * v + v**3 + 3 * v**2) * e[2]
+
+
+def cmo(x: np.ndarray, n: float) -> np.ndarray:
+    """Momentum oscillator on Wilder averages."""
+    out = _empty(len(x))
+    if len(x) > n:
+        d = np.diff(x)
+        g, s = rma(np.where(d > 0, d, 0), n), rma(np.where(d < 0, -d, 0), n)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[1:] = np.where(g + s > 1e-8, 100 * (g - s) / (g + s), np.where(g == g, 0, NAN))
+    return out
+
+
+def adosc(ad: np.ndarray, fast: float, slow: float) -> np.ndarray:
+    """Difference of two averages of the accumulation line, both seeded by its first value; from bar slow - 1 on."""
+    a, b = (linear(ad, 2 / (n + 1), float(ad[0]), 0) for n in (fast, slow))
+    out = a - b
+    out[: int(max(fast, slow)) - 1] = NAN
+    return out
+
+
+KERNELS: dict[str, Callable] = {f.__name__: f for f in (ema, rma, sma, dma, dema, tema, trix, rsi, macd, atr, dmi, kdj, sar, kama, nvi, pvi, heikin, supertrend, t3, cmo, adosc)}
 
 
 def apply_kernel(kind: str, inputs: list[np.ndarray], params: tuple[float, ...]) -> tuple[np.ndarray, ...]:

@@ -28,10 +28,10 @@ FORMULAS: dict[str, str] = {
     "fn_conditions": "UP := C > O; F_COUNT : COUNT(UP, 10); F_EXIST : EXIST(C > 200, 10); F_EVERY : EVERY(C > 20, 5); F_LAST : LAST(C > 20, 5, 2); F_BARSLAST : BARSLAST(C > 150); F_SINCE : BARSSINCE(C > 150); F_RUN : BARSLASTCOUNT(UP); F_WHEN : VALUEWHEN(C > 150, H); F_FIX : FIXNAN(IF(C > 100, C, DRAWNULL));",
     "fn_moments": "F_SKEW : SKEW(C, 10); F_KURT : KURT(C, 10); F_AVEDEV : AVEDEV(C, 10); F_DEVSQ : DEVSQ(C, 10); F_CORREL : CORREL(H, L, 10); F_COVAR : COVAR(H, L, 10); F_HISTVOL : HISTVOL(C, 20);",
     "fn_bands": "F_BOLL : BOLL(C, 20, 2); F_BOLLUP : BOLLUP(C, 20, 2); F_BOLLDN : BOLLDN(C, 20, 2); F_BOLLWIDTH : BOLLWIDTH(C, 20, 2); F_DONCHIAN : DONCHIAN(H, L, 20); F_WIDTH : DONCHIAN_WIDTH(H, L, 20); F_TENKAN : TENKAN(H, L, 9); F_KIJUN : KIJUN(H, L, 26); F_MIDPRICE : MIDPRICE(H, L, 14);",
-    "fn_oscillators": "F_WILLR : WILLR(H, L, C, 14); F_STOCH : STOCH(H, L, C, 14, 3); F_STOCHF : STOCHF(H, L, C, 14); F_CCI : CCI(H, L, C, 14); F_CMO : CMO(C, 14); F_MFI : MFI(H, L, C, V, 14); F_PSY : PSY(C, 12); F_BIAS : BIAS(C, 6); F_DPO : DPO(C, 20); F_ULTOSC : ULTOSC(H, L, C, 7, 14, 28); F_IMI : IMI(O, C, 14); F_QSTICK : QSTICK(O, C, 8);",
+    "fn_oscillators": "F_WILLR : WILLR(H, L, C, 14); F_STOCH : STOCH(H, L, C, 14, 3); F_STOCHF : STOCHF(H, L, C, 14); F_CCI : CCI(H, L, C, 14); F_CMO : CMO(C, 14); F_MFI : MFI(H, L, C, V, 14); F_PSY : PSY(C, 12); F_BIAS : BIAS(C, 6); F_APO : APO(C, 12, 26); F_PPO : PPO(C, 12, 26); F_DPO : DPO(C, 20); F_ULTOSC : ULTOSC(H, L, C, 7, 14, 28); F_IMI : IMI(O, C, 14); F_QSTICK : QSTICK(O, C, 8);",
     "fn_trend": "F_ER : ER(C, 10); F_VHF : VHF(C, 14); F_CHOP : CHOP(H, L, C, 14); F_VPLUS : VORTEX_PLUS(H, L, C, 14); F_VMINUS : VORTEX_MINUS(H, L, C, 14); F_AROON_UP : AROON_UP(H, L, 14); F_AROON_DN : AROON_DN(H, L, 14); F_AROONOSC : AROONOSC(H, L, 14); F_AO : AO(H, L, 5, 34); F_AC : AC(H, L, 5, 34, 5); F_ADR : ADR(H, L, 14);",
-    "fn_volume": "F_OBV : OBV(C, V); F_AD : AD(H, L, C, V); F_CMF : CMF(H, L, C, V, 20); F_VWAP : VWAP(H, L, C, V); F_VWMA : VWMA(C, V, 20); F_PVT : PVT(C, V); F_WAD : WAD(H, L, C); F_RVOL : RVOL(V, 20); F_SURGE : VOLUME_SURGE(V, 10, 1.2); F_BREAKOUT : BREAKOUT(C, H, 20); F_BREAKDOWN : BREAKDOWN(C, L, 20);",
-    "fn_weighted": "F_WMA : WMA(C, 10); F_HMA : HMA(C, 16); F_ALMA : ALMA(C, 9, 0.85, 6); F_TRIMA : TRIMA(C, 10); F_TRIMA_ODD : TRIMA(C, 9);",
+    "fn_volume": "F_OBV : OBV(C, V); F_AD : AD(H, L, C, V); F_CMF : CMF(H, L, C, V, 20); F_VWAP : VWAP(H, L, C, V); F_PVT : PVT(C, V); F_WAD : WAD(H, L, C); F_RVOL : RVOL(V, 20); F_SURGE : VOLUME_SURGE(V, 10, 1.2); F_BREAKOUT : BREAKOUT(C, H, 20); F_BREAKDOWN : BREAKDOWN(C, L, 20); F_COPPOCK : COPPOCK(C, 14, 11, 10);",
+    "fn_weighted": "F_WMA : WMA(C, 10); F_HMA : HMA(C, 16); F_ALMA : ALMA(C, 9, 0.85, 6); F_TRIMA : TRIMA(C, 10); F_TRIMA_ODD : TRIMA(C, 9); F_VWMA : VWMA(C, V, 20);",
     "fn_regression": "F_SLOPE : SLOPE(C, 14); F_LINEARREG : LINEARREG(C, 14); F_ICEPT : LINEARREG_INTERCEPT(C, 14); F_ANGLE : LINEARREG_ANGLE(C, 14); F_TSF : TSF(C, 14); F_RESI : RESI(C, 14); F_FOSC : FOSC(C, 14); F_RSQUARE : RSQUARE(C, 14);",
     "fn_extremes": "F_HHVBARS : HHVBARS(H, 10); F_LLVBARS : LLVBARS(L, 10); F_MAXINDEX : MAXINDEX(C, 10); F_MININDEX : MININDEX(C, 10); F_RANK : RANK(C, 10); F_PERCENT_RANK : PERCENT_RANK(C, 10); F_RANK_PCT : RANK_PCT(C, 10); F_MEDIAN : MEDIAN(C, 9); F_QUANTILE : QUANTILE(C, 20, 0.25);",
     "fn_expanding": "F_BARSCOUNT : BARSCOUNT(REF(C, 5)); F_CUMSUM : CUMSUM(V); F_CUMMAX : CUMMAX(H); F_CUMMIN : CUMMIN(L); F_TOTAL : TOTALBARSCOUNT; F_CURRENT : CURRBARSCOUNT; F_LASTBAR : ISLASTBAR; F_CONST : CONST(C);",
@@ -43,6 +43,7 @@ FORMULAS["fn_candles_one_bar"] = " ".join(f"F_{p[3:]} : {p}(O, H, L, C);" for p
 FORMULAS["fn_candles_more_bars"] = " ".join(f"F_{p[3:]} : {p}(O, H, L, C);" for p in candles.PATTERNS[16:31])
 FORMULAS["fn_candles_long_patterns"] = " ".join(f"F_{p[3:]} : {p}(O, H, L, C);" for p in candles.PATTERNS[31:])
 _NAMES = tuple(alpha.FAMILIES)
+FORMULAS["factors_alpha101"] = alpha.alpha101()
 FORMULAS["factors_alpha158_shapes"] = alpha.alpha158((), (), True)
 for _i, _part in enumerate((_NAMES[:8], _NAMES[8:15], _NAMES[15:23], _NAMES[23:])):
     FORMULAS[f"factors_alpha158_part{_i + 1}"] = alpha.alpha158(alpha.WINDOWS, _part, False)
@@ -52,12 +53,13 @@ RECURSIVE: dict[str, str] = {
     "fn_recursive_averages": "F_EMA : EMA(C, 12); F_SMA : SMA(C, 12, 1); F_RMA : RMA(C, 14); F_DMA : DMA(C, V / 100); F_DEMA : DEMA(C, 10); F_TEMA : TEMA(C, 10); F_TRIX : TRIX(C, 9); F_KAMA : KAMA(C, 10);",
     "fn_recursive_oscillators": "F_RSI : RSI(C, 14); F_MACD : MACD(C, 12, 26, 9); F_SIGNAL : MACD_SIGNAL(C, 12, 26, 9); F_HIST : MACD_HIST(C, 12, 26, 9); F_K : KDJ(H, L, C, 9, 3, 3); F_D : KDJ_D(H, L, C, 9, 3, 3); F_J : KDJ_J(H, L, C, 9, 3, 3);",
     "fn_recursive_trend": "F_ATR : ATR(H, L, C, 14); F_ADX : ADX(H, L, C, 14); F_PLUS : PLUS_DI(H, L, C, 14); F_MINUS : MINUS_DI(H, L, C, 14); F_SAR : SAR(H, L, 0.02, 0.2); F_NVI : NVI(C, V); F_PVI : PVI(C, V);",
+    "fn_recursive_more": "F_NATR : NATR(H, L, C, 14); F_ADXR : ADXR(H, L, C, 14); F_ADOSC : ADOSC(H, L, C, V, 3, 10); F_EFI : EFI(C, V, 13); F_ZLEMA : ZLEMA(C, 12); F_MASS : MASS(H, L, 9, 25); F_TSI : TSI(C, 25, 13); F_STOCHRSI : STOCHRSI(C, 14, 14); F_T3 : T3(C, 5, 0.7); F_HO : HEIKIN_OPEN(O, H, L, C); F_HC : HEIKIN_CLOSE(O, H, L, C); F_SUPER : SUPERTREND(H, L, C, 10, 3); F_DIR : SUPERTREND_DIR(H, L, C, 10, 3); F_CMOW : CMO_WILDER(C, 14);",
     "formula_recursive_nested": "DIF := EMA(C, 12) - EMA(C, 26); DEA := EMA(DIF, 9); BAR : 2 * (DIF - DEA); GOLD : CROSS(DIF, DEA); SMOOTH : MA(RSI(C, 6), 5);",
 }
 
 
 #: Decimals of the results where six are not right for the size of the values.
-DIGITS = {"fn_volume": 3, "factors_alpha158_part1": 5}
+DIGITS = {"fn_volume": 3}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -395,9 +395,13 @@ class Compiler:
     # -- plans --------------------------------------------------------------------------------------
 
     def finish(self, keep: tuple[str, ...] = ("symbol", "timeframe", "ts"), digits: int | None = 6) -> str:
-        """Materialises the outputs and returns the final projection's text."""
+        """Materialises the outputs and returns the final projection's text.
+
+        With ``digits``, outputs are rounded so that engines agree: up from 0.7 of the last decimal and not
+        from its half, where finite decimals such as means of prices often lie.
+        """
         cols = {k: (v if v.const is not None else self.col(v)) for k, v in self.outputs.items()}
-        shown = [f"round({v.text}, {digits}) AS {k.lower()}" if digits is not None else f"{v.text} AS {k.lower()}" for k, v in cols.items()]
+        shown = [f"floor(({v.text}) * 1e{digits} + 0.3e0) / 1e{digits} AS {k.lower()}" if digits is not None else f"{v.text} AS {k.lower()}" for k, v in cols.items()]
         return ", ".join([*keep, *shown])
 
     def sql(self, base: str, final: str) -> str:
