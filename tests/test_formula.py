@@ -139,3 +139,12 @@ def test_sql_text_needs_no_recursion():
     c = Compiler(dialect=DUCK).compile("EMA(C, 5)")
     with pytest.raises(FormulaError):
         c.sql("SELECT 1", c.finish())
+
+
+def test_candles(spark):
+    plain = [("s", "H1", i, 100.0, 101.0, 99.0, 100.5) for i in range(20)]
+    rows = [*plain, ("s", "H1", 20, 100.0, 101.0, 99.0, 100.0), ("s", "H1", 21, 101.0, 101.5, 99.5, 100.0), ("s", "H1", 22, 99.5, 103.0, 99.0, 102.0)]
+    df = spark.createDataFrame(rows, "symbol string, timeframe string, n int, open double, high double, low double, close double").selectExpr("symbol", "timeframe", "timestamp_seconds(n * 60) as ts", "open", "high", "low", "close")
+    got = eval_formula(df, "DOJI : CDLDOJI; ENGULF : CDLENGULFING;").orderBy("ts").collect()
+    assert [r.doji for r in got[:10]] == [0.0] * 10 and got[20].doji == 100.0
+    assert got[22].engulf == 100.0 and got[15].engulf == 0.0
