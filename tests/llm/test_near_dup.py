@@ -32,6 +32,17 @@ def test_hot_group_is_whole(spark, words):
     assert _rows(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4)) == brute.near_dups(rows, 4)
 
 
+def test_one_link_in_a_group_just_under_the_threshold(spark):
+    shared = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(90):  # any two have a similarity of 397/501; 40 and 41 share three more words: 400/498
+        own = [f"own{i}x{j}" for j in range(52)]
+        rows.append((i, " ".join(shared + ([*"xyz", *own[3:]] if i in (40, 41) else own))))
+    want = brute.near_dups(rows, 4)
+    assert [r[0] for r in want if not r[3]] == [41]
+    assert _rows(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4)) == want
+
+
 def test_odd_rows(spark, odd_docs):
     got = near_duplicates(odd_docs, 5).collect()
     assert len(got) == odd_docs.count()

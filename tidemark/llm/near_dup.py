@@ -8,7 +8,8 @@
    0.8 a pair misses all 32 bands with a chance of 5e-8.
 3. Links are confirmed on the full sets, from the texts, in rounds that only look across groups not
    yet connected: each class against two pivots of its bucket; then each class and its nearest one by
-   sketch in every block of its bucket, twice; then every pair left that the sketch does not rule out.
+   sketch in every block of its bucket, twice; then, unless no bucket is open, every pair left that the
+   sketch does not rule out.
    A group of near copies therefore costs a number of pairs that follows its size until it is
    connected, and what is not connected by then is compared in full.
 4. Buckets are cut into blocks of at most ``BLOCK`` expected members; pairs of blocks are dealt out,
@@ -289,9 +290,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
             return df.withColumn("label", F.col("node"))
         return df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
+    stale = False  # a 'best' turn gave no new pairs, so another one would pick the same
     for turn, mode in enumerate(("star", "best", "best", "all")):
+        if mode == "best" and stale:
+            continue
         now = labelled(member)
         open_ = now.groupBy("unit").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1")
+        if turn:
+            open_ = store.put(f"open{turn}", open_)
+            if not open_.limit(1).count():
+                break
         if mode == "star":
             pairs = (
                 member.select("node", F.explode(F.array("low", "high")).alias("pivot"))
@@ -311,8 +319,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = store.put(f"pairs{turn}", pairs)
         if not pairs.limit(1).count():
-            if turn:
-                break
+            stale = mode == "best"
             continue
         checked = pairs if checked is None else checked.union(pairs)
         links = store.put(
