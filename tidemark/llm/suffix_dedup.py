@@ -1,15 +1,14 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by hashes at the suffixes that a sparse suffix array would retain; nothing is sorted or extended word by word.
 
 1. Suffixes are retained where content says so: at the minimiser (least hash) of every window of
    ``WINDOW`` five-word grams. Equal passages retain the same suffixes, and every passage of ``least``
    words retains one within its first WINDOW positions.
-2. Retained suffixes are ordered by their first ``least - WINDOW + 1`` words, as one hash; a suffix stays
-   where a neighbour in that order, from another document, is equal that far. Runs of equal suffixes are
-   told by the least and greatest document in them, so a run is never a group in one task.
-3. Each suffix that stays is extended: the passages of ``least`` words whose first window retains
-   it are compared by hash, again across documents. Left and right parts are
-   thus matched jointly, with one and the same partner, and every repeat of at least ``least`` words is
-   found in full length as the union of such passages.
+2. Retained suffixes are grouped by the hash of their first ``least - WINDOW + 1`` words, in the place of
+   a sort and a comparison of neighbours; a suffix stays where another document has the same hash.
+   Groups are told by the least and greatest document in them, so a group is never rows in one task.
+3. In the place of an extension to the left and right, the passages of ``least`` words whose first
+   window retains a suffix that stays are grouped by hash, again across documents. Every repeat of at
+   least ``least`` words is found in full length as the union of such passages.
 
 Words are compared as they are written; their hashes have 64 bits.
 """
