@@ -10,6 +10,8 @@
    window retains a suffix that stays are grouped by hash, again across documents. Every repeat of at
    least ``least`` words is found in full length as the union of such passages.
 
+Repeats within one document alone are not looked for: the SQL of the query asks for two documents.
+
 Words are compared as they are written; their hashes have 64 bits.
 """
 
