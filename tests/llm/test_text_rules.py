@@ -88,6 +88,13 @@ def test_mixing(spark, odd_docs, words):
     assert mixing.mix_documents(docs.limit(0)).collect() == []
 
 
+def test_default_weight_is_the_share_of_letters(spark):
+    texts = {"#*$%&| " * 9: 0.5, "aé中bcd " * 9: 1.5, "ab12\t": 1.0, " \n": 0.5, "": 0.5, None: 0.5}
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.weight for r in mixing.mix_documents(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_exponential_order_follows_weights(spark):
     docs = spark.range(20_000).selectExpr("id as doc_id", "'s' as source", "10L as size", "case when id % 2 = 0 then 3e0 else 1e0 end as weight", "id as h")
     targets = spark.createDataFrame([("s", 200_000, 20_000, 20_000.0)], "source string, source_size long, docs long, target double")

@@ -27,10 +27,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def text_weight(text: Column, size: Column) -> Column:
-    """A document's default quality weight from its number of words: 1.5 less how far its characters a word lie from 6, as a share of 6 and at most 1."""
-    apart = F.abs(F.length(text) / size - 6) / 6
-    return F.when(size > 0, F.lit(1.5) - F.least(F.lit(1.0), apart)).otherwise(F.lit(0.5))
+def text_weight(text: Column) -> Column:
+    """A document's default quality weight, 0.5 to 1.5: one half and its share of letters among non-space characters."""
+    solid = text
+    for space in " \t\n\x0b\x0c\r":
+        solid = F.replace(solid, F.lit(space))
+    solid = F.length(solid)
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    return F.coalesce(F.when(solid > 0, F.lit(0.5) + letters / solid), F.lit(0.5))
 
 
 def exponential_key(weight: Column, seed: int, *cols: Column) -> Column:
@@ -108,14 +112,14 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     """Mixes ``docs`` (doc_id, text, source): doc_id, source, size, weight, h, source_size, target, key, copies, taken.
 
     Null text has size 0; null doc_ids and repeated rows are documents of their own (equal ones are taken
-    together); an empty table gives an empty result. ``weight`` is a column of ``docs``. h (a hash of the
-    text) and doc_id name a row. With ``carry``, the columns of ``docs`` stay as the struct ``row``.
+    together); an empty table gives an empty result. ``weight`` is a column of ``docs``, and ``text_weight``
+    where it is not given. h (a hash of the text) and doc_id name a row. With ``carry``, the columns of ``docs`` stay as the struct ``row``.
     """
     store = Store(docs.sparkSession, "mixing")
     row = [F.struct(*map(F.col, docs.columns)).alias("row")] if carry else []
     given = [weight.cast("double").alias("weight")] if weight is not None else []
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", word_count(F.col("text")).alias("size"), *given, *row)
-    own = ["doc_id", "source", "size", ("weight" if given else text_weight(F.col("text"), F.col("size")).alias("weight")), F.xxhash64("text").alias("h")]
+    own = ["doc_id", "source", "size", ("weight" if given else text_weight(F.col("text")).alias("weight")), F.xxhash64("text").alias("h")]
     rows = store.put("rows", texts.select(*own))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = store.put("targets", cyclic_targets(sizes, weights, share, most))
