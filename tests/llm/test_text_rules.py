@@ -154,3 +154,16 @@ def test_importance_resampling(spark, words):
     best = sorted(top, key=lambda r: -r.key)[:100]
     assert {r.key for r in top if r.selected} == {r.key for r in best} and sum(r.selected for r in top) == 100
     assert importance.resample(docs.limit(0), labels).collect() == []
+
+
+def test_target_model_counts_all_target_rows(spark):
+    docs = spark.range(20_500).selectExpr("id as doc_id", "concat('w', id, ' v', id % 7) as text")
+    labels = docs.selectExpr("doc_id", "doc_id < 20400 as target")
+
+    def weights(rows):
+        return {r.doc_id: r.log_weight for r in rows.collect()}
+
+    counts = importance.count_ngrams(docs.selectExpr("text", "doc_id < 20400 as target")).collect()
+    want = weights(importance.weigh(docs, importance.log_ratios(counts)))
+    assert weights(importance.resample(docs, labels)) == want
+    assert weights(importance.resample(docs, labels, max_targets=20_000)) != want

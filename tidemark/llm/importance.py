@@ -6,8 +6,8 @@ texts count as if all had that many n-grams and length alone decides nothing. Th
 shrunk towards the raw one, by as many n-grams as the target has, so that rare n-grams that the target
 rows happen to lack weigh little. Gumbel noise from a hash of seed, id and text is added, and the k
 rows with the greatest sums are a sample without replacement in proportion to the weights. k defaults
-to the share of target rows among labelled ones, of all rows. The target model counts at most
-``MAX_TARGETS`` target rows; everything else covers all rows.
+to the share of target rows among labelled ones, of all rows. Both models count all their rows: texts
+are dealt by id to meet their labels, unless ``max_targets`` bounds the target rows that count.
 
 Counting is a partial sum per task and bucket; the models are two arrays of ``buckets`` numbers. The top
 k are found without a sort: sums are binned, the bin that holds the k-th is found from counts, and only
@@ -31,8 +31,6 @@ BUCKETS = 10_000
 SMOOTH = 1.0
 LENGTH = 500
 BIN_WIDTH = 0.25
-#: Target rows that the target model counts, those with the least hash of their id.
-MAX_TARGETS = 20_000
 _U = np.uint64
 
 
@@ -100,18 +98,22 @@ def gumbel(seed: int, *cols) -> F.Column:
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 5, buckets: int = BUCKETS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 5, buckets: int = BUCKETS, max_targets: int | None = None) -> DataFrame:
     """Rows of ``docs`` (doc_id, text): doc_id, n_words, log_weight, key, selected.
 
     ``labels`` (doc_id, target boolean) marks target rows; null and false are not. Null ids match no label; repeated rows are rows of
     their own, and equal keys are taken in the order of doc_id and the hash of the text, rows equal in
-    all of these together; an empty table gives an empty result.
+    all of these together; an empty table gives an empty result. The target model counts all target rows,
+    or those of the ``max_targets`` ids with the least hash.
     """
     store = Store(docs.sparkSession, "importance")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = labels.filter("target and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(MAX_TARGETS).withColumn("target", F.lit(True))
-    marked = rows.join(F.broadcast(chosen), "doc_id", "left")  # at most MAX_TARGETS ids
+    if max_targets is not None:
+        chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_targets)
+    chosen = chosen.withColumn("target", F.lit(True)).hint("shuffle_hash")  # texts are dealt by id, but not sorted
+    marked = rows.filter("doc_id is not null").join(chosen, "doc_id", "left")
+    marked = marked.unionByName(rows.filter("doc_id is null").withColumn("target", F.lit(False)))
     counts = count_ngrams(marked, buckets).collect()  # at most ``buckets`` rows
     weighed = weigh(rows.withColumn("h", F.xxhash64("text")), log_ratios(counts, buckets)).drop("text")
     weighed = weighed.withColumn("key", F.round(F.col("log_weight") + gumbel(seed, "doc_id", "h"), 9)).withColumn("bin", F.floor(-F.col("key") / BIN_WIDTH))
