@@ -31,6 +31,20 @@ def test_line_rules(line, rule):
     assert line_quality.line_fails(line) == rule
 
 
+@pytest.mark.parametrize(
+    "line, rule",
+    [
+        (b"men's shoes (new) women's shoes hats bags belts scarves gloves socks coats rings", "punctuation"), (b"One sentence. " + b"word " * 12, "punctuation"),
+        (b'They said that this line of more than twelve words ends "like this."', ""), (b"word " * 12 + "\u5c3e\u3002 ".encode(), ""),
+        (b"This work is licensed under the terms below, which hold for every copy. " * 8, "boilerplate"),
+        ("\u6211\u4eec\u4f7f\u7528 cookie \u6765\u6539\u5584\u670d\u52a1\u3002".encode() * 20, "boilerplate"),
+        (b"We ate a cookie by the sea. " + b"The waves were high that day, and nobody swam. " * 12, ""),
+    ],
+)
+def test_line_ends_and_long_lines(line, rule):
+    assert line_quality.line_fails(line) == rule
+
+
 def test_base_secrets(spark, odd_docs):
     texts = ["", None, "token=abcdefgh", "token=abcdefg", "x PassWord\" : 'aB3/+=._-' y", "passwd:=abcdefg", "api_key = 12345678 apikey=1234567", "AKIA" + "A" * 12, "AKIA" + "A" * 11, "f" * 32, "0" * 31, "é" * 5 + "secret:" + "a" * 40, "ghp_" + "a" * 36, "token token=abcdefgh12token=99999999", "secret: \n abcdefgh", "Key tokeN:  \"zzzzzzzz"]
     docs = odd_docs.select("doc_id", "text", "kept").union(spark.createDataFrame([(200 + i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, kept boolean"))

@@ -1,8 +1,10 @@
 """Line-first cleaning: rules per line, failed lines removed, then documents that lose too much rejected.
 
-A line (split at \\n) fails if it is boilerplate (licence, rights and consent phrases), navigation
+A line (split at \\n) fails if it is boilerplate (sentences with licence, rights and consent phrases hold
+a third of its words or more, at any length), navigation
 (cells separated by bars or the like, or shouting: every word upper-case or closed by "!!"), noisy
-(a large share of symbols), or unpunctuated (it has no sentence end in it at all and is not short).
+(a large share of symbols), or unpunctuated (12 words or more, and no sentence end or closing double
+quote at its end).
 Empty lines and repeated lines pass the line rules; copies count in the base features. A document is
 kept if its base features pass and at most ``max_lost`` of its words stood in failed lines.
 """
@@ -24,7 +26,11 @@ BOILERPLATE = re.compile(
     re.I,
 )
 SEPARATORS = re.compile(rb" [|\xc2\xbb>] | \xc2\xb7 ")
-SENTENCE_END = re.compile(rb"[.!?:;\"')\]]|\xe2\x80\xa6|\xe2\x80\x9d|\xc2\xbb|\xe3\x80\x82")
+MARK = rb"(?:[.!?:;]|\xe2\x80\xa6|\xe3\x80\x82|\xef\xbc[\x81\x9a\x9b\x9f]|\xd8\x9f|\xe0\xa5\xa4)"
+DOUBLE_QUOTE = rb"(?:\"|\xe2\x80\x9d|\xc2\xbb|\xe3\x80\x8d)"
+CLOSING = rb"(?:[')\]]|\xe2\x80\x99|\xef\xbc\x89|" + DOUBLE_QUOTE + rb")"
+LINE_END = re.compile(rb"(?:" + MARK + CLOSING + rb"*|" + DOUBLE_QUOTE + rb")$")
+SENTENCE = re.compile(rb"(?<=[.!?;])\s+|(?<=\xe3\x80\x82)|(?<=\xef\xbc\x81)|(?<=\xef\xbc\x9f)")
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 SYMBOL_BYTES = b"#*$%&|<>"
@@ -34,9 +40,11 @@ WINDOW = 8
 
 def line_fails(line: bytes) -> str:
     """The rule that a line fails, or "". The line has at least one word."""
-    if BOILERPLATE.search(line) and len(line) < 400:
-        return "boilerplate"
     words = line.split()
+    if BOILERPLATE.search(line):
+        parts = [(BOILERPLATE.search(x), len(x.split())) for x in SENTENCE.split(line)]
+        if 3 * sum(n for hit, n in parts if hit) >= sum(n for _, n in parts):
+            return "boilerplate"
     bars = len(SEPARATORS.findall(line)) + line.endswith(b" |")
     if bars >= 2 and 3 * bars >= len(words) or bars == 1 and len(words) <= 3:
         return "navigation"
@@ -44,7 +52,7 @@ def line_fails(line: bytes) -> str:
         return "navigation"
     if len(words) >= 2 and 10 * (len(line) - len(line.translate(None, SYMBOL_BYTES))) > len(line):
         return "noise"
-    if len(words) >= 12 and not SENTENCE_END.search(line):
+    if len(words) >= 12 and not LINE_END.search(line.rstrip()[-24:]):
         return "punctuation"
     return ""
 
