@@ -67,22 +67,33 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 class Words:
-    """Words of a few texts: ``start``/``end`` byte offsets in ``buf``, ``first[d]:first[d+1]`` those of text d."""
+    """Words of a few texts: ``start``/``end`` byte offsets in ``buf``, ``first[d]:first[d+1]`` those of text d.
 
-    def __init__(self, texts: list[bytes], fold: bool = True):
+    ``white`` marks the bytes between words; the line feed, which joins the texts, is one of them.
+    """
+
+    def __init__(self, texts: list[bytes], fold: bool = True, white: np.ndarray = WHITE):
         self.buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         self.base = np.concatenate(([0], np.cumsum(sizes + 1)))
-        solid = np.concatenate(([False], ~WHITE[self.buf]))
+        solid = np.concatenate(([False], ~white[self.buf]))
         edges = np.flatnonzero(solid[1:] != solid[:-1])
         self.start, self.end = edges[0::2], edges[1::2]
         self.first = np.searchsorted(self.start, self.base)
         codes = _folded if fold else _codes
         n = len(self.buf)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(codes[self.buf] * _power("up", n), out=sums[1:])
-        raw = (sums[self.end] - sums[self.start]) * _power("down", n)[self.start]
-        self.hash = mix(raw ^ (self.end - self.start).astype(np.uint64))
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(codes[self.buf] * _power("up", n), out=self.sums[1:])
+        self.hash = self.hash_of(self.start, self.end)
+
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges, the same wherever the bytes stand."""
+        raw = (self.sums[end] - self.sums[start]) * _power("down", len(self.buf))[start]
+        return mix(raw ^ (end - start).astype(np.uint64))
+
+    def docs(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
