@@ -2,10 +2,14 @@
 
 Each rule's regular expression is turned into a Boolean query of trigrams that every match must
 contain (on text with A-Z lower-cased): literals give conjunctions, alternatives disjunctions, and what
-can be empty or is wider than a small class gives nothing. The index holds, for every trigram that some
-query names, the bitmap of the documents with it in blocks of 32,768 row numbers. A query intersects
-and joins bitmaps block by block; the documents left are the rule's candidates, and only they run its
-regular expression. Rules without mandatory trigrams run over all documents.
+can be empty or is wider than a small class gives nothing. The index knows no rules: every trigram of
+every text (three bytes of its lower-cased UTF-8) falls into one of ``BUCKETS`` buckets, and a posting
+holds, for a bucket and a run of 64 rows, the bits of the rows with it. Rows are numbered where they
+are read, so a run lies in one task and its bits are joined there before anything is shuffled. The index
+is a table sorted by bucket, of which a scan reads the buckets that its rules name; all rules are then
+answered at once, word by word, with bitwise operations. The rows left are a rule's candidates, and only
+they run its regular expression; buckets that trigrams share add candidates but lose none. Rules without
+mandatory trigrams run over all documents.
 
 Positions are code points: the parts between matches (``split``) and the matches
 (``regexp_extract_all``) take turns, so running sums of their lengths give every start and end.
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 try:
     from re import _constants as sre
@@ -159,40 +164,42 @@ def trigrams_in(query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(trigrams_in, query[1]))
 
 
-BLOCK = 32_768  # bits of one of Spark's bitmaps
+BUCKETS = 8192
+PIECE = 4096  # bytes of a text that are cut into trigrams together
+RUN = 64  # rows whose bits share a long
+#: Candidates are broadcast up to this number of bytes and dealt by run beyond it.
+BROADCAST = 32 << 20
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, block, bits): bitmaps of the ``slot`` numbers (from 1) of ``docs`` whose ``low`` has the trigram."""
-    named = F.array(*map(F.lit, trigrams))
-    marks = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)])
-    hits = docs.select("slot", F.explode(F.array_compact(marks)).alias("g"))
-    hits = hits.groupBy("g", F.expr("bitmap_bucket_number(slot)").alias("block"))
-    bits = hits.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
-    return bits.select(F.element_at(named, F.col("g") + 1).alias("trigram"), "block", "bits")
+def bucket_of(trigram: Column) -> Column:
+    return F.pmod(F.hash(trigram), F.lit(BUCKETS))
 
 
-def evaluate(query, index: DataFrame) -> DataFrame:
-    """(block, bits) of the slots that meet a query, by intersecting and joining postings block by block."""
+def build_index(rows: DataFrame) -> DataFrame:
+    """(bucket, run, bits) of ``rows`` (slot, text): bit slot % 64 of run slot / 64 is set where the text has a trigram of the bucket."""
+    raw = rows.select("slot", F.lower("text").cast("binary").alias("raw")).filter(F.octet_length("raw") >= 3)
+    cuts = F.sequence(F.lit(0), F.expr(f"cast((octet_length(raw) - 3) div {PIECE} as int)"))
+    pieces = raw.select("slot", F.explode(F.transform(cuts, lambda c: F.substring(F.col("raw"), c * PIECE + 1, F.lit(PIECE + 2)))).alias("piece"))
+    grams = pieces.select("slot", "piece", F.explode(F.sequence(F.lit(1), F.octet_length("piece") - 2)).alias("i"))
+    hits = grams.groupBy(bucket_of(F.substring("piece", F.col("i"), F.lit(3))).alias("bucket"), F.expr(f"slot div {RUN}").alias("run"))
+    return hits.agg(F.expr(f"bit_or(shiftleft(1L, cast(slot % {RUN} as int)))").alias("bits"))
+
+
+def answer(query, postings: Column) -> Column:
+    """The bits of a run that meet a query, from its map of bucket to bits."""
     if isinstance(query, str):
-        return index.filter(F.col("trigram") == query).select("block", "bits")
-    plain = [p for p in query[1] if isinstance(p, str)]
-    rows = index.filter(F.col("trigram").isin(*plain)).select("block", "bits") if plain else None
-    for p in sorted((p for p in query[1] if not isinstance(p, str)), key=repr):
-        part = evaluate(p, index)
-        rows = part if rows is None else rows.unionAll(part)
-    if query[0] == "or":
-        return rows.groupBy("block").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
-    met = rows.groupBy("block").agg(F.expr("bitmap_and_agg(bits)").alias("bits"), F.count("*").alias("n"))
-    return met.filter(F.col("n") == len(query[1])).drop("n")
-
-
-def slots_of(bitmaps: DataFrame) -> DataFrame:
-    """The slots whose bits are set in (block, bits)."""
-    octets = bitmaps.select("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCK // 8 - 1))).alias("at"), "bits")
-    octets = octets.select("block", "at", F.conv(F.hex(F.expr("substring(bits, at + 1, 1)")), 16, 10).cast("int").alias("octet")).filter("octet <> 0")
-    bits = octets.select("block", "at", "octet", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).filter("shiftright(octet, bit) % 2 = 1")
-    return bits.select(((F.col("block") - 1) * BLOCK + F.col("at") * 8 + F.col("bit") + 1).alias("slot"))
+        return F.coalesce(postings[bucket_of(F.lit(query).cast("binary"))], F.lit(0).cast("long"))
+    parts = [answer(q, postings) for q in sorted(query[1], key=repr)]
+    return reduce(Column.bitwiseAND if query[0] == "and" else Column.bitwiseOR, parts)
+
+
+def candidates(index: DataFrame, queries: list) -> DataFrame:
+    """(run, masks): for every run with a candidate, the bits that meet each query; no bits for queries that are None."""
+    named = sorted(set().union(*map(trigrams_in, queries)))
+    wanted = index.filter(F.col("bucket").isin(*[bucket_of(F.lit(t).cast("binary")) for t in named]))
+    runs = wanted.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits"))).alias("postings"))
+    masks = [F.lit(0).cast("long") if q is None else answer(q, F.col("postings")) for q in queries]
+    return runs.select("run", F.array(*masks).alias("masks")).filter(F.exists("masks", lambda x: x != 0))
 
 
 _SPANS = "array<struct<s:int,k:int,e:int>>"
@@ -222,38 +229,33 @@ def _listed(found: Column, kinds: list[str]) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """Adds found_spans, an array of (s, k, e), sorted, k being the rule's number, to ``docs`` (doc_id, text, ...).
+    """Adds found_spans, an array of (s, k, e), sorted, k being the rule's number, to ``docs`` (text, ...).
 
-    Null text is empty. Rows need no unique id: an id shares its slot of the index with equal ones (and
-    null with 0), which can only add candidates. An empty table gives an empty result. A column
-    named found_spans is replaced; all others stay.
+    Null text is empty. Rows need no id: they are numbered in a copy in the shared folder, which the
+    index and the scan read. An empty table gives an empty result. A column named found_spans is
+    replaced; all others stay.
     """
     queries = [trigram_query(r.pattern) for r in rules]
-    named = sorted(set().union(*map(trigrams_in, queries)))
     base = docs.drop("found_spans")
-    out = base
-    mask = F.lit(0)
-    if named:
-        store = Store(docs.sparkSession, "secrets")
-        slots = 2 * base.select("doc_id").count() + 1
-        slot = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(slots)) + 1
-        index = store.put("index", postings(base.select(slot.alias("slot"), F.lower("text").alias("low")), named))
-        wanted = None
-        for i, q in enumerate(queries):
-            if q is not None:
-                own = slots_of(evaluate(q, index)).select(F.col("slot").alias("cand_slot"), F.lit(1 << i).alias("cand_bit"))
-                wanted = own if wanted is None else wanted.unionAll(own)
-        wanted = store.put("candidates", wanted.groupBy("cand_slot").agg(F.bit_or("cand_bit").alias("cand_mask")))
-        out = base.join(wanted, slot == F.col("cand_slot"), "left")
-        mask = F.coalesce("cand_mask", F.lit(0))
+    store = Store(docs.sparkSession, "secrets")
+    rows = store.put("rows", base.select(F.monotonically_increasing_id().alias("slot"), F.struct(*map(F.col, base.columns)).alias("row")))
+    text = F.col("row.text")
+    if any(q is not None for q in queries):
+        index = store.put("index", build_index(rows.select("slot", "row.text")).sortWithinPartitions("bucket", "run"))
+        found = store.put("candidates", candidates(index, queries))
+        if found.count() * (8 * len(rules) + 32) <= BROADCAST:
+            found = F.broadcast(found)
+        rows = rows.join(found, F.expr(f"slot div {RUN}") == F.col("run"), "left")
+    else:
+        rows = rows.withColumn("masks", F.lit(None).cast("array<long>"))
     parts = []
     for i, (rule, q) in enumerate(zip(rules, queries, strict=True)):
         if q is not None:
-            runs = mask.bitwiseAND(F.lit(1 << i)) != 0
+            runs = F.coalesce(F.getbit(F.col("masks")[i], F.expr(f"cast(slot % {RUN} as int)")), F.lit(0)) == 1
         else:
-            runs = F.col("text").rlike(rule.guard) if rule.guard else F.lit(True)
-        parts.append(F.when(runs & F.col("text").isNotNull(), spans(F.col("text"), rule, i)).otherwise(F.array().cast(_SPANS)))
-    return out.withColumn("found_spans", F.array_sort(F.concat(*parts))).drop("cand_slot", "cand_mask")
+            runs = text.rlike(rule.guard) if rule.guard else F.lit(True)
+        parts.append(F.when(runs & text.isNotNull(), spans(text, rule, i)).otherwise(F.array().cast(_SPANS)))
+    return rows.select("row.*", F.array_sort(F.concat(*parts)).alias("found_spans"))
 
 
 def summarise(found: DataFrame, base: int = len(BASE_RULES), rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
