@@ -40,11 +40,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the name of its kind in the place of every secret; n_chars follows the text."""
-    clean = secrets.redact(secrets.scan(_with_row(docs)))
-    row = F.col("row").withField("text", F.col("text"))
+    rest = F.struct(F.lit(0).alias("none"), *(F.col(c) for c in docs.columns if c != "text"))
+    clean = secrets.redact(secrets.scan(docs.select("text", rest.alias("rest"))))
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return clean.select(row.alias("row")).select("row.*")
+        own["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    return clean.select(*(own.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
