@@ -102,6 +102,38 @@ def test_mixing(spark, odd_docs, words):
     assert mixing.mix_documents(docs.limit(0)).collect() == []
 
 
+def test_mix_takes_the_documents_that_one_by_one_sampling_takes(spark, words):
+    import math
+
+    names = ["a", "\x00", None, "hot"]
+    rows = [(i, " ".join(words(1 + i % 37, i)), names[i % 3] if i % 2 else "hot") for i in range(700)]
+    weight = [(0.0, 1e-7, 1.0, 50.0, None)[i % 5] for i in range(700)]
+    docs = spark.createDataFrame([(*r, w) for r, w in zip(rows, weight, strict=True)], "doc_id long, text string, source string, w double")
+    for bin_docs in (mixing.BIN_DOCS, 10):
+        mixing.BIN_DOCS, old = bin_docs, mixing.BIN_DOCS
+        try:
+            got = mixing.mix_documents(docs, weight=mixing.F.col("w")).collect()
+        finally:
+            mixing.BIN_DOCS = old
+        assert len(got) == len(rows)
+        for s in names:
+            own = sorted((r for r in got if r.source == s), key=lambda r: r.key)
+            for r in own[:20]:
+                w = r.weight if r.weight and r.weight > 0 else 1e-9
+                assert 0 < math.exp(-r.key * w) < 1
+            target, size = own[0].target, sum(r.size for r in own)
+            left = target - (epochs := int(target // size)) * size
+            prefix = set()
+            for r in own:  # in the order of keys while the sum is within the target
+                if r.size > left:
+                    break
+                prefix.add(r.doc_id)
+                left -= r.size
+            extra = [r for r in own if r.copies > epochs and r.doc_id not in prefix]
+            assert prefix <= {r.doc_id for r in own if r.copies > epochs} and len(extra) <= 1
+            assert abs(sum(r.taken for r in own) - target) <= left + 1e-6
+
+
 def test_default_weight_is_the_share_of_letters(spark):
     texts = {"#*$%&| " * 9: 0.5, "aé中bcd " * 9: 1.5, "ab12\t": 1.0, " \n": 0.5, "": 0.5, None: 0.5}
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")

@@ -23,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Pieces in each of the two generations of a worker's cache, and the longest that is cached.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 120_000
 CACHED_CHARS = 40
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LETTER, _DIGIT, _WHITE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"

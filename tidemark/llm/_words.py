@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _BASE_INV = pow(_BASE, -1, 1 << 64)

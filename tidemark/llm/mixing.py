@@ -8,8 +8,10 @@ missing, less than the next document, goes to the one document of the same bin t
 it, or to none if that is nearer still.
 
 The prefix sums need no sort of a source: keys are binned by their distribution (about ``BIN_DOCS``
-documents a bin, from the source's count), bins are summed and prefix-summed, and only documents of
-the one bin that holds the cut are sorted. A hot source thus costs one bin's sort.
+documents a bin, from the source's count, for weights of any size), bins are summed and prefix-summed, and only documents of
+the one bin that holds the cut are sorted. A hot source thus costs one bin's sort. What is known of a
+source (its plan, its cut) is a stored table of one row a source: Spark sees its size, broadcasts it where it
+is small and splits the hot source's side of the join where it is not.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from tidemark.llm._store import Store
 
 WORD = r"[^\x20\x09-\x0D]+"
 BIN_DOCS = 20_000
+#: Keys are binned at all of these scales together, so that weights of any size spread over bins.
+SCALES = (1e3, 1.0, 1e-3, 1e-6, 1e-9)
 
 
 def word_count(text: Column) -> Column:
@@ -66,42 +70,40 @@ def cyclic_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return t.withColumn("target", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0))).select("source", "source_size", "docs", "target")
 
 
-def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, measured: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, store: Store | None = None) -> DataFrame:
     """Copies of each document in the mix.
 
-    ``docs``: doc_id, source, size, weight and h (a hash that breaks ties). ``targets``: source, docs (a
-    count), source_size and target, which is at most a whole number of epochs and a remainder. Adds
-    source_size, target, key, copies and taken (copies * size). Null sources are a source.
-    Documents of size 0 add nothing and are taken with their key. ``measured`` is a stored table of the
-    same rows without other columns, from which the sums are taken.
+    ``docs``: doc_id, source, size, weight and h (a hash that breaks ties), best a stored table, for it is
+    read several times. ``targets``: source, docs (a count), source_size and target, which is at most a
+    whole number of epochs and a remainder. Adds source_size, target, key, copies and taken (copies *
+    size). Null sources are a source of their own. Documents of size 0 add nothing and are taken with
+    their key.
     """
-    bins = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(BIN_DOCS)))
+    store = store or Store(docs.sparkSession, "mixing")
+    named = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("s")
+    bins = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(BIN_DOCS))).alias("bins")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = targets.select(
-        F.coalesce(F.col("source"), F.lit("\x00")).alias("s"), "source_size", "target", epochs.alias("epochs"), bins.alias("bins"),
-    ).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-
-    def placed(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("key", exponential_key(F.col("weight"), seed, F.col("doc_id"), F.col("h")))
-        rows = rows.withColumn("s", F.coalesce(F.col("source"), F.lit("\x00"))).join(plan, "s", "left")
-        return rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")))
-
-    every = placed(docs)
-    rows = every if measured is None else placed(measured)
+    plan = targets.select(named, "source_size", "target", epochs.alias("epochs"), bins).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = store.put("plan", plan)
+    key = exponential_key(F.col("weight"), seed, F.col("doc_id"), F.col("h"))
+    spread = sum((1 - F.exp(-F.col("key") * F.lit(scale)) for scale in SCALES), F.lit(0.0))
+    every = docs.withColumn("key", key).withColumn("s", named).join(plan, "s", "left").withColumn("bin", F.floor(spread * F.col("bins")))
+    own = F.struct("key", "doc_id", "h")
+    rows = every.select("s", "bin", "size", "rest", own.alias("own"))
     sums = rows.groupBy("s", "bin").agg(F.sum("size").alias("in_bin"), F.first("rest").alias("rest"))
     by_bin = Window.partitionBy("s").orderBy("bin")
     sums = sums.withColumn("before", F.sum("in_bin").over(by_bin) - F.col("in_bin"))
     cut_bin = sums.filter("before < rest and before + in_bin >= rest").groupBy("s").agg(F.min("bin").alias("cut_bin"), F.min_by("before", "bin").alias("before"))
-    order = Window.partitionBy("s").orderBy("key", "doc_id", "h")
-    inside = rows.select("s", "bin", "key", "doc_id", "h", "size", "rest").join(cut_bin, "s").filter("bin = cut_bin")
-    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = inside.withColumn("own", F.struct("key", "doc_id", "h"))
+    cut_bin = store.put("cut_bin", cut_bin)
+    inside = store.put("inside", rows.join(cut_bin, "s").filter("bin = cut_bin").select("s", "own", "size", "rest", "cut_bin", "before"))
+    order = Window.partitionBy("s").orderBy("own").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(order))
     below = inside.filter("upto <= rest").groupBy("s").agg(F.max("own").alias("cut"), F.max("upto").alias("upto"))
     cut = cut_bin.join(below, "s", "left").select("s", "cut_bin", "cut", F.coalesce("upto", "before").alias("met"))
-    last = inside.filter("upto > rest").drop("upto").join(cut.select("s", "met"), "s").withColumn("gap", F.col("rest") - F.col("met"))
+    last = inside.filter("upto > rest").select("s", "own", "size", "rest").join(cut.select("s", "met"), "s").withColumn("gap", F.col("rest") - F.col("met"))
     last = last.filter("abs(size - gap) < gap").groupBy("s").agg(F.min_by("own", F.struct(F.abs(F.col("size") - F.col("gap")), "own")).alias("last"))
-    out = every.join(cut.drop("met").join(last, "s", "left"), "s", "left")
-    own = F.struct("key", "doc_id", "h")
+    edge = store.put("edge", cut.drop("met").join(last, "s", "left"))
+    out = every.join(edge, "s", "left")
     inside_cut = F.coalesce(own <= F.col("cut"), F.lit(False)) | F.coalesce(own == F.col("last"), F.lit(False))
     taken = (F.col("rest") > 0) & ((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & inside_cut))
     out = out.withColumn("copies", F.col("epochs") + F.coalesce(taken, F.lit(False)).cast("long"))
@@ -117,13 +119,12 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     """
     store = Store(docs.sparkSession, "mixing")
     row = [F.struct(*map(F.col, docs.columns)).alias("row")] if carry else []
-    given = [weight.cast("double").alias("weight")] if weight is not None else []
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", word_count(F.col("text")).alias("size"), *given, *row)
-    own = ["doc_id", "source", "size", ("weight" if given else text_weight(F.col("text")).alias("weight")), F.xxhash64("text").alias("h")]
-    rows = store.put("rows", texts.select(*own))
+    text = F.col("text")
+    own = text_weight(text) if weight is None else weight.cast("double")
+    rows = store.put("rows", docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), own.alias("weight"), F.xxhash64(text).alias("h"), *row))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = store.put("targets", cyclic_targets(sizes, weights, share, most))
-    return mix(texts.select(*own, "row") if carry else rows, targets, seed, rows)
+    return mix(rows, targets, seed, store)
 
 
 def expand(mixed: DataFrame) -> DataFrame:
