@@ -23,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Pieces in each of the two generations of a worker's cache, and the longest that is cached.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 200_000
 CACHED_CHARS = 40
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LETTER, _DIGIT, _WHITE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
@@ -51,6 +51,22 @@ def _latin(text: str) -> bool:
     return True
 
 
+class Cache(dict):
+    """Ids of pieces, made where they are missing; a piece of the generation before (``old``) is not made again."""
+
+    def __init__(self, make, old: dict[str, bytes]):
+        super().__init__()
+        self.make, self.old = make, dict(old)
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= CACHED_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -68,8 +84,7 @@ class Encoder:
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
         if self.pieces and hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # its own cache only costs time behind this one
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache = Cache(self._piece, {})
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -83,14 +98,14 @@ class Encoder:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if not self.pieces:
             return self._whole(texts)
-        cut: list[list[str]] = []
+        cut: list[tuple[list[str], bool]] = []  # pieces of a text, and whether some are chunks for the whole tokenizer
         other: dict[str, bytes] = {}
         for t in texts:
             if any(s in t for s in self.specials):
-                parts = [t]
+                cut.append(([t], True))
                 other[t] = b""
             elif _latin(t):
-                parts = _PIECE.findall(t)
+                cut.append((_PIECE.findall(t), False))
             else:
                 chunks = _CUT.split(t)
                 chunks[1:] = [" " + c for c in chunks[1:]]
@@ -101,22 +116,14 @@ class Encoder:
                     else:
                         parts.append(c)
                         other[c] = b""
-            cut.append(parts)
+                cut.append((parts, True))
         if other:
             names = list(other)
             other = dict(zip(names, self._whole(names), strict=True))
-        young, old = self.young, self.old
-        for p in set().union(*cut).difference(young, other):
-            ids = old.get(p)
-            if ids is None:
-                ids = self._piece(p)
-            (young if len(p) <= CACHED_CHARS else other)[p] = ids
-        if other:
-            out = [b"".join([other[p] if p in other else young[p] for p in parts]) for parts in cut]
-        else:
-            out = [b"".join([young[p] for p in parts]) for parts in cut]
-        if len(young) > CACHE_PIECES:
-            self.old, self.young = young, {}
+        ids_of = self.cache.__getitem__
+        out = [b"".join([other[p] if p in other else ids_of(p) for p in parts] if mixed else map(ids_of, parts)) for parts, mixed in cut]
+        if len(self.cache) > CACHE_PIECES:
+            self.cache = Cache(self._piece, self.cache)
         return out
 
 
