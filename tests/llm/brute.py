@@ -67,12 +67,12 @@ def base_secrets(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def repeated_spans(rows: list[tuple[int, str | None]], least: int) -> list[tuple[int, int, int]]:
-    """(doc_id, start, end) of unions of passages of ``least`` words that two documents have."""
+    """(doc_id, start, end) of unions of passages of ``least`` words that stand at two places."""
     holders: dict[tuple, set] = {}
     words = [(d, WORD.findall(t or "")) for d, t in rows]
     for d, w in words:
         for i in range(len(w) - least + 1):
-            holders.setdefault(tuple(w[i : i + least]), set()).add(d)
+            holders.setdefault(tuple(w[i : i + least]), set()).add((d, i))
     out = []
     for d, w in words:
         for i in range(len(w) - least + 1):

@@ -153,10 +153,15 @@ def test_repeated_passages(spark, odd_docs, words):
     rows = [(i, words(300, i)) for i in range(40)]
     for i in range(1, 40):
         rows[i] = (i, rows[i][1][: 20 + i] + rows[i - 1][1][100 : 140 + i] + rows[i][1][20 + i :])
+    own = words(90, 99)
+    rows += [(60, own + words(30, 98) + own[:70] + own), (61, words(200, 97)), (62, words(5, 96) * 30)]
+    common = words(27, 95)  # one stem in many contexts, some of which agree for 50 words
+    for i in range(70, 130):
+        rows.append((i, words(40, i) + words(12, 500 + i % 20) + common + words(12, 600 + i % 3) + words(30, 700 + i)))
     rows = [(i, " ".join(w)) for i, w in rows] + [(r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id is not None]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    for least in (50, 60):
-        got = suffix_dedup.repeated_passages(docs, least).collect()
+    for least, heavy in ((50, suffix_dedup.HEAVY), (60, suffix_dedup.HEAVY), (50, 1)):
+        got = suffix_dedup.repeated_passages(docs, least, heavy).collect()
         kept = {}
         for d, t in rows:
             kept.setdefault(d, []).append(t)

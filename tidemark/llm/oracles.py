@@ -48,7 +48,7 @@ FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
 REPEATED = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS pos FROM d WHERE len(w) >= 50),
 g AS (SELECT doc_id, pos, md5(array_to_string(list_slice(w, pos + 1, pos + 50), ' ')) AS h FROM i),
-r AS (SELECT h, min(doc_id) AS low, max(doc_id) AS high FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+r AS (SELECT h, min(doc_id) AS low, max(doc_id) AS high FROM g GROUP BY h HAVING count(*) > 1),
 f AS (SELECT g.h, min(g.pos) AS pos FROM g JOIN r ON g.h = r.h AND g.doc_id = r.low GROUP BY g.h),
 x AS (SELECT g.doc_id, g.pos, CASE WHEN g.doc_id = r.low THEN r.high ELSE r.low END AS other, CASE WHEN g.doc_id = r.low AND g.pos = f.pos THEN 0 ELSE 1 END AS extra FROM g JOIN r ON g.h = r.h JOIN f ON f.h = g.h),
 y AS (SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM x),
