@@ -23,7 +23,7 @@ def test_line_features(spark, odd_docs, words):
 @pytest.mark.parametrize(
     "line, rule",
     [
-        (b"All rights reserved.", "boilerplate"), (b"Home | News | About |", "navigation"), (b"BUY!! NOW!! HERE!! GO!!", "navigation"), (b"the&&& cat### sat***", "noise"),
+        (b"All rights reserved.", "boilerplate"), ("Home \u00bb News \u00bb About \u00bb Us".encode(), "navigation"), ("Home \u00b7 News \u00b7 About".encode(), "navigation"), (b"Home | News | About |", "navigation"), (b"BUY!! NOW!! HERE!! GO!!", "navigation"), (b"the&&& cat### sat***", "noise"),
         (b"word " * 12, "punctuation"), (b"A plain sentence about the sea.", ""), (b"Short title", ""),
     ],
 )
@@ -218,3 +218,78 @@ def test_target_model_counts_all_target_rows(spark):
     want = weights(importance.weigh(docs, importance.log_ratios(counts)))
     assert weights(importance.resample(docs, labels)) == want
     assert weights(importance.resample(docs, labels, max_targets=20_000)) != want
+
+
+def test_toxicity_against_a_plain_fit(spark, words):
+    import math
+
+    rows, labels = [], []
+    for i in range(240):
+        w, grade = words(30, i), i % 8 in (0, 1) and 1 + i % 8
+        w[5:8] = {1: ["mildword"] * 3, 2: ["mildword", "harshword", "harshword"]}.get(grade, w[5:8])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(grade)))
+    docs = spark.createDataFrame([*rows, (None, None), (7, rows[7][1])], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([*labels, (None, 1), (9999, 2)], "doc_id long, toxic int"))
+    assert len(model.cuts) == 2 and model.weights
+
+    def number(word: str, n: int | None = None) -> int:  # by the operator's hash: features are told apart, not how they are hashed
+        row, col = toxicity.features([word.encode()])
+        return set(col.tolist())
+
+    own = {d: {f for w in set(t.split()) for f in number(w)} for d, t in rows}
+    grade = dict(labels)
+
+    def loss(weights, cuts):
+        total = 0.0
+        for d, fs in own.items():
+            x = sum(weights.get(f, 0.0) for f in fs)
+            below = [0.0, *(1 / (1 + math.exp(-(c - x))) for c in cuts), 1.0]
+            total -= math.log(max(below[grade[d] + 1] - below[grade[d]], 1e-12))
+        return total + 0.01 * sum(w * w for w in weights.values())
+
+    best = loss(model.weights, model.cuts)
+    rng = np.random.default_rng(2)
+    for _ in range(40):  # no step away from the fit is better by more than its tolerance
+        moved = {f: w + rng.normal(0, 0.05) for f, w in model.weights.items()}
+        assert loss(moved, model.cuts + rng.normal(0, 0.05, 2)) > best - 0.05
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect() if r.doc_id is not None}
+    for d, fs in own.items():
+        x = sum(model.weights.get(f, 0.0) for f in fs)
+        above = [1 / (1 + math.exp(c - x)) for c in model.cuts]
+        assert abs(got[d].expected_severity - sum(above)) < 1e-5 and got[d].toxic == (above[0] > 0.5)
+        assert got[d].grade == max(range(3), key=lambda j: ([1.0, *above][j] - [*above, 0.0][j]))
+    assert np.mean([got[d].grade == g for d, g in grade.items()]) > 0.97
+
+
+def test_importance_against_plain_python(spark, odd_docs, words):
+    import math
+
+    rows = [(100 + i, " ".join(words(20 + i, i) if i % 4 else ["spam", f"s{i % 9}"] * (5 + i))) for i in range(80)]
+    docs = odd_docs.select("doc_id", "text", "label", "kept").union(spark.createDataFrame([(*r, 0, False) for r in rows], "doc_id long, text string, label int, kept boolean"))
+    labels = spark.createDataFrame([(100 + i, i % 4 != 0) for i in range(60)] + [(None, True), (101, None), (2, True), (2, True)], "doc_id long, target boolean")
+    target = {r.doc_id for r in labels.collect() if r.target and r.doc_id is not None}
+    buckets = 1 << 10
+
+    def grams(text):
+        w = importance.Words([text.encode()])
+        at, _ = importance.ngrams(w, buckets)
+        assert len(at) == max(0, 2 * len(brute.WORD.findall(text)) - 1)
+        return at.tolist()
+
+    every = [(r.doc_id, grams(r.text or "")) for r in docs.collect()]
+    raw, good = [1.0] * buckets, [1.0] * buckets
+    for d, g in every:
+        for x in g:
+            raw[x] += 1
+            good[x] += d in target
+    ratio = [math.log(g / sum(good)) - math.log(r / sum(raw)) for g, r in zip(good, raw, strict=True)]
+    want = sorted((str(d), round(sum(ratio[x] for x in g), 5)) for d, g in every)
+    for k in (None, 1, 17, len(every), len(every) + 5):
+        got = importance.resample(docs, labels, k=k, buckets=buckets).collect()
+        assert all(abs(a[1] - b[1]) < 1e-4 and a[0] == b[0] for a, b in zip(sorted((str(r.doc_id), round(r.log_weight, 5)) for r in got), want, strict=True))
+        n = round(len(every) * 48 / 63) if k is None else min(k, len(every))
+        chosen = sorted((r.key for r in got), reverse=True)[:n]
+        assert {r.key for r in got if r.selected} == set(chosen)
+    half = importance.weigh(docs, np.array(ratio), length=10).collect()
+    assert all(abs(r.log_weight - (10 * sum(ratio[x] for x in g) / len(g) if (g := grams(r.text or "")) else 0)) < 1e-6 for r in half)

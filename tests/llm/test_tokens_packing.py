@@ -39,7 +39,8 @@ def test_bit_packing_round_trip(vocab):
 
 def test_token_files(spark, odd_docs):
     got = token_store.read_tokens(token_store.write_tokens(odd_docs, image_ids=500)).collect()
-    rows = sorted(((r.doc_id, r.text) for r in odd_docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    named = odd_docs.selectExpr("doc_id", "xxhash64(text) as h", "text").collect()
+    rows = [(r.doc_id, r.text) for r in sorted(named, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))]
     start, want = 0, []
     for (doc_id, _), ids in zip(rows, _ids([t for _, t in rows]), strict=True):
         want.append((doc_id, start, len(ids) + 1, _crc([*ids, 0])))
@@ -48,11 +49,22 @@ def test_token_files(spark, odd_docs):
     assert token_store.read_tokens(token_store.write_tokens(odd_docs.limit(0))).collect() == []
 
 
-def test_export(spark, odd_docs, tmp_path):
-    images = token_store.write_tokens(odd_docs)
-    files = token_store.export_files(images, str(tmp_path)).collect()
-    total = sum(token_store.Image(open(f.path, "rb").read()).n_ids for f in files)
-    assert total == sum(len(x) + 1 for x in _ids([r.text for r in odd_docs.collect()]))
+def test_files_in_a_given_folder(spark, odd_docs, tmp_path):
+    files = token_store.write_tokens(odd_docs, folder=f"file://{tmp_path}").collect()
+    images = [token_store.Image((tmp_path / f.path.rsplit("/", 1)[1]).read_bytes()) for f in files]
+    assert sorted(f.name for f in tmp_path.iterdir()) == sorted(f.path.rsplit("/", 1)[1] for f in files)
+    assert sum(i.n_ids for i in images) == sum(len(x) + 1 for x in _ids([r.text for r in odd_docs.collect()]))
+    assert sorted(str(d) for i in images for d in i.docs) == sorted(str(r.doc_id) for r in odd_docs.collect())
+
+
+def test_one_hot_id_is_dealt_out(spark, words):
+    docs = spark.createDataFrame([(None, " ".join(words(50, i))) for i in range(800)], "doc_id long, text string").repartition(8)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        assert len({f.part for f in token_store.write_tokens(docs).collect()}) > 1
+    finally:
+        spark.conf.unset(key)
 
 
 def _naive(lengths, limits):
@@ -113,3 +125,13 @@ def test_pack(spark, odd_docs):
             end += n
         assert end <= 1024
     assert packing.pack(odd_docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("rule", ["best", "norm", "dot"])
+def test_pack_under_binding_limits(spark, odd_docs, rule):
+    limits = packing.Limits(tokens=64, documents=3, attention=64 * 64, rule=rule)
+    places = {}
+    for r in packing.pack(odd_docs, limits).collect():
+        places.setdefault(r.sequence_id, []).append(r.length)
+    assert all(sum(v) <= 64 and len(v) <= 3 and sum(n * n for n in v) <= 64 * 64 for v in places.values())
+    assert any(len(v) == 3 and sum(v) < 60 for v in places.values()) and sum(map(sum, places.values())) == sum(len(x) + 1 for x in _ids([r.text for r in odd_docs.collect()]))

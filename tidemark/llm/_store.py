@@ -47,6 +47,12 @@ class Store:
         df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def folder(self, name: str) -> str:
+        """The URI of a new, empty folder beside the tables."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(target)
+        return self.path(name)
+
     def drop(self, *tables: str) -> None:
         """Removes tables that nothing lazy reads any more."""
         jvm = self.spark._jvm

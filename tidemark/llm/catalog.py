@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import oracles
 from tidemark.llm.importance import resample
 from tidemark.llm.line_quality import clean_documents
-from tidemark.llm.media import document_media
+from tidemark.llm.media import document_media, interleave
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.packing import pack
@@ -47,6 +47,12 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def media_page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its ordered text and media items."""
+    pages = interleave(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+    return pages.select("page_id", F.explode("items").alias("x")).select("page_id", "x.*")
+
+
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") == 1).alias("target"))
     return resample(_documents(spark, sf_dir), target)
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_quality": op3_line_quality,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_media_columns": op5_media_columns,
+        "media_page_sequences": media_page_sequences,
         "op6_importance_resampling": op6_importance_resampling,
         "op7_token_bit_packing": op7_token_bit_packing,
         "op8_secret_scan": op8_secret_scan,

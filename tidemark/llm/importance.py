@@ -1,17 +1,16 @@
 """Quality selection by importance resampling with hashed n-gram models.
 
 Two generative models over hashed words and word pairs, one of the target rows and one of all rows,
-give every text an importance weight: the mean log ratio over its n-grams, times ``LENGTH``, so that
-texts count as if all had that many n-grams and length alone decides nothing. The target model is
-shrunk towards the raw one, by as many n-grams as the target has, so that rare n-grams that the target
-rows happen to lack weigh little. Gumbel noise from a hash of seed, id and text is added, and the k
+give every text its importance weight, the ratio of its likelihoods: the sum of the log ratios of its
+n-grams. Both models are smoothed by ``SMOOTH`` n-grams a bucket. Gumbel noise from a hash of seed, id and text is added, and the k
 rows with the greatest sums are a sample without replacement in proportion to the weights. k defaults
 to the share of target rows among labelled ones, of all rows. Both models count all their rows: texts
-are dealt by id to meet their labels, unless ``max_targets`` bounds the target rows that count.
+are dealt by id to meet their labels, unless ``max_targets`` bounds the target rows that count. With
+``length``, texts count as if all had that many n-grams (the mean log ratio times ``length``).
 
 Counting is a partial sum per task and bucket; the models are two arrays of ``buckets`` numbers. The top
-k are found without a sort: sums are binned, the bin that holds the k-th is found from counts, and only
-its rows are ranked.
+k are found without a sort: sums are binned, the bin that holds the k-th is found from counts and binned
+again, and only the rows of the last, narrow bin are ranked.
 """
 
 from __future__ import annotations
@@ -29,8 +28,8 @@ from tidemark.llm._words import Words, slices, texts_of
 
 BUCKETS = 10_000
 SMOOTH = 1.0
-LENGTH = 500
-BIN_WIDTH = 0.25
+#: Widths of the bins of sums and of the bins within the one that holds the k-th.
+BIN_WIDTHS = (0.25, 2.0**-20)
 _U = np.uint64
 
 
@@ -65,18 +64,17 @@ def count_ngrams(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def log_ratios(counts: list, buckets: int = BUCKETS) -> np.ndarray:
     """log p_target - log p_raw by bucket; zeros without a target."""
-    raw, target = np.full(buckets, SMOOTH), np.zeros(buckets)
+    raw, target = np.full(buckets, SMOOTH), np.full(buckets, SMOOTH)
     for r in counts:
         raw[r["bucket"]] += r["n"]
         target[r["bucket"]] += r["n_target"]
-    share, total = raw / raw.sum(), target.sum()
-    if not total:
+    if target.sum() == SMOOTH * buckets:
         return np.zeros(buckets)
-    return np.log((target / total + share) / 2) - np.log(share)
+    return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """Adds n_words and log_weight to ``docs`` (with a column text); null and empty texts have weight 0."""
+def weigh(docs: DataFrame, ratios: np.ndarray, length: int | None = None) -> DataFrame:
+    """Adds n_words and log_weight to ``docs`` (with a column text); null and empty texts have a log weight of 0."""
     base = docs.drop("n_words", "log_weight")
     keep = base.columns
 
@@ -86,7 +84,9 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             for a, b in slices(map(len, texts), most=8192):
                 words = Words(texts[a:b])
                 at, doc = ngrams(words, len(ratios))
-                total = LENGTH * np.bincount(doc, ratios[at], b - a) / np.maximum(1, np.bincount(doc, minlength=b - a))
+                total = np.bincount(doc, ratios[at], b - a)
+                if length is not None:
+                    total = length * total / np.maximum(1, np.bincount(doc, minlength=b - a))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(words.counts()), pa.array(np.round(total, 9))], [*keep, "n_words", "log_weight"])
 
     return base.mapInArrow(run, T.StructType(list(base.schema)).add("n_words", "long").add("log_weight", "double"))
@@ -98,7 +98,7 @@ def gumbel(seed: int, *cols) -> F.Column:
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 5, buckets: int = BUCKETS, max_targets: int | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 5, buckets: int = BUCKETS, max_targets: int | None = None, length: int | None = None) -> DataFrame:
     """Rows of ``docs`` (doc_id, text): doc_id, n_words, log_weight, key, selected.
 
     ``labels`` (doc_id, target boolean) marks target rows; null and false are not. Null ids match no label; repeated rows are rows of
@@ -115,18 +115,29 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     marked = rows.filter("doc_id is not null").join(chosen, "doc_id", "left")
     marked = marked.unionByName(rows.filter("doc_id is null").withColumn("target", F.lit(False)))
     counts = count_ngrams(marked, buckets).collect()  # at most ``buckets`` rows
-    weighed = weigh(rows.withColumn("h", F.xxhash64("text")), log_ratios(counts, buckets)).drop("text")
-    weighed = weighed.withColumn("key", F.round(F.col("log_weight") + gumbel(seed, "doc_id", "h"), 9)).withColumn("bin", F.floor(-F.col("key") / BIN_WIDTH))
+    weighed = weigh(rows.withColumn("h", F.xxhash64("text")), log_ratios(counts, buckets), length).drop("text")
+    weighed = weighed.withColumn("key", F.round(F.col("log_weight") + gumbel(seed, "doc_id", "h"), 9))
     weighed = store.put("weighed", weighed)
     if k is None:
         known = labels.agg(F.count("target").alias("n"), F.sum(F.col("target").cast("int")).alias("good")).first()
         k = round(weighed.count() * (known["good"] / known["n"])) if known["n"] else 0
-    bins = weighed.groupBy("bin").agg(F.count("*").alias("n"))
-    ahead = bins.withColumn("before", F.sum("n").over(Window.orderBy("bin")) - F.col("n"))
-    edge = ahead.filter((F.col("before") < k) & (F.col("before") + F.col("n") >= k)).select("bin", "before").first()
-    if edge is None:
-        return weighed.withColumn("selected", F.lit(k > 0)).drop("bin", "h")
+    last = _last_of(weighed, k)
+    if last is None:
+        return weighed.withColumn("selected", F.lit(k > 0)).drop("h")
     own = F.struct((-F.col("key")).alias("key"), "doc_id", "h")
-    last = weighed.filter(F.col("bin") == edge["bin"]).select(own.alias("own")).orderBy("own").limit(k - edge["before"]).agg(F.max("own").alias("last"))
-    out = weighed.join(F.broadcast(last))
-    return out.withColumn("selected", (F.col("bin") < edge["bin"]) | ((F.col("bin") == edge["bin"]) & (own <= F.col("last")))).drop("bin", "h", "last")
+    upto = F.struct(F.lit(last["key"]).cast("double").alias("key"), F.lit(last["doc_id"]).cast("long").alias("doc_id"), F.lit(last["h"]).cast("long").alias("h"))
+    return weighed.withColumn("selected", own <= upto).drop("h")
+
+
+def _last_of(rows: DataFrame, k: int):
+    """The k-th row of ``rows`` (key, doc_id, h) by descending key, or None where k is not within them."""
+    inside, before = rows.select((-F.col("key")).alias("key"), "doc_id", "h"), 0
+    for width in BIN_WIDTHS:
+        inside = inside.withColumn("bin", F.floor(F.col("key") / width))
+        bins = inside.groupBy("bin").agg(F.count("*").alias("n"))
+        ahead = bins.withColumn("before", F.lit(before) + F.sum("n").over(Window.orderBy("bin")) - F.col("n"))
+        edge = ahead.filter((F.col("before") < k) & (F.col("before") + F.col("n") >= k)).select("bin", "before").first()
+        if edge is None:
+            return None
+        inside, before = inside.filter(F.col("bin") == edge["bin"]), edge["before"]
+    return inside.orderBy("key", "doc_id", "h").limit(k - before).agg(F.max(F.struct("key", "doc_id", "h")).alias("last")).first()["last"]

@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm._store import small_batches
 from tidemark.llm._words import WHITE, Words, slices, texts_of
 
 BOILERPLATE = re.compile(
     rb"all rights reserved|licensed under|is licensed|general public license|creative commons|terms of (?:use|service)|privacy policy|cookie|copyright|\xc2\xa9|subscribe|sign (?:in|up)|click here|javascript",
     re.I,
 )
-SEPARATORS = re.compile(rb" [|\xc2\xbb>] | \xc2\xb7 ")
+SEPARATORS = re.compile(rb" (?:[|>]|\xc2\xbb|\xc2\xb7) ")  # bar, angle, guillemet, middle dot
 MARK = rb"(?:[.!?:;]|\xe2\x80\xa6|\xe3\x80\x82|\xef\xbc[\x81\x9a\x9b\x9f]|\xd8\x9f|\xe0\xa5\xa4)"
 DOUBLE_QUOTE = rb"(?:\"|\xe2\x80\x9d|\xc2\xbb|\xe3\x80\x8d)"
 CLOSING = rb"(?:[')\]]|\xe2\x80\x99|\xef\xbc\x89|" + DOUBLE_QUOTE + rb")"
@@ -111,6 +112,7 @@ def clean_documents(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
     without failed lines. Null text counts as empty: it has no words, fails and is cleaned to "".
     Columns of these names are replaced; all others stay.
     """
+    small_batches(docs.sparkSession)
     names = (*FEATURES, "base_failed", "n_failed_lines", "n_lost_words", "kept", "cleaned")
     base = docs.drop(*names)
     keep = base.columns

@@ -88,16 +88,12 @@ def sketch_slice(texts: list[bytes], k: int) -> tuple[np.ndarray, ...]:
     return sizes, fp1.view(np.int64), fp2.view(np.int64), keys, np.packbits(bits, axis=1)
 
 
-def first_shared(low_keys: np.ndarray, x: np.ndarray, y: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """Which pairs meet first in their band: a pair in several buckets counts in one of them only.
-
-    ``low_keys`` are the lower halves of the band keys; two that agree by chance (1 in 2^32) in an earlier
-    band would hide a pair, far more seldom than all bands miss it.
-    """
+def first_shared(keys: np.ndarray, x: np.ndarray, y: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Which pairs meet first in their band: a pair in several buckets counts in one of them only."""
     out = np.zeros(len(x), dtype=bool)
     for s in range(0, len(x), 1 << 15):
         z = slice(s, s + (1 << 15))
-        out[z] = (low_keys[x[z]] == low_keys[y[z]]).argmax(axis=1) == band[x[z]]
+        out[z] = (keys[x[z]] == keys[y[z]]).argmax(axis=1) == band[x[z]]
     return out
 
 
@@ -198,7 +194,7 @@ def _comparer(mode: str, most: float, threshold: int):
         node, label, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
         side, kind = t.column("side").to_numpy(), t.column("kind").to_numpy()
         sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(unit), -1)
-        low = np.frombuffer(b"".join(t.column("low_keys").to_pylist()), dtype=np.uint32).reshape(len(unit), -1)
+        keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), dtype=np.uint64).reshape(len(unit), -1)
         band = t.column("band").to_numpy()
         edge = np.flatnonzero((unit[1:] != unit[:-1]) | (u2[1:] != u2[:-1])) + 1
         starts = np.concatenate(([0], edge))
@@ -223,7 +219,7 @@ def _comparer(mode: str, most: float, threshold: int):
             right.append(a + j)
         none = np.zeros(0, dtype=np.int64)
         x, y = np.concatenate(left or [none]), np.concatenate(right or [none])
-        keep = first_shared(low, x, y, band)
+        keep = first_shared(keys, x, y, band)
         return node[x[keep]], node[y[keep]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,6 +383,5 @@ def _blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
           transform(sequence(0, core - 1), i -> struct(1000000000000L + own * 1000000L + i as tile, 1 as kind))) end"""
     )
     dealt = sided.join(size, "unit").withColumn("own", F.when(small, F.lit(0)).otherwise(own)).withColumn("at", F.explode(tiles))
-    halves = F.concat(*[F.expr(f"substring(keys, {8 * i + 1}, 4)") for i in range(BANDS)])
-    rows = dealt.select("unit", "band", "at.tile", "at.kind", "node", "label", "side").join(reps.select("node", "n", "sketch", halves.alias("low_keys")), "node")
+    rows = dealt.select("unit", "band", "at.tile", "at.kind", "node", "label", "side").join(reps.select("node", "n", "sketch", "keys"), "node")
     return rows.repartition("unit", "tile").sortWithinPartitions("unit", "tile")

@@ -28,20 +28,28 @@ def _spans(kind: str, order: int, pattern: str, test: str) -> str:
       SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS gaps FROM documents WHERE text IS NOT NULL)))) WHERE {test}"""
 
 
+_KEY = "[Pp][Aa][Ss][Ss][Ww](?:[Oo][Rr])?[Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_ASSIGN = f"""({_KEY})["\']?\\x20*[:=]\\x20*["\']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+#: kind, pattern, and what a match x must meet; written for this SQL, in the order of the contract and then of the method.
+_KINDS = (
+    ("assign", _ASSIGN, f"length(regexp_extract(x, '{_ASSIGN}', 2)) >= 8"),
+    ("access", "AKIA[0-9A-Z]+", "length(x) >= 16"),
+    ("hex", "[a-f0-9]+", "length(x) >= 32"),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
+    ("github", "gh[oprsu]_[0-9A-Za-z]{36,}", "true"),
+    ("slack", "xox[abprs]-[0-9A-Za-z-]{10,}", "true"),
+    ("jwt", "eyJ[0-9A-Za-z_-]{8,}[.]eyJ[0-9A-Za-z_-]{8,}[.][0-9A-Za-z_-]{8,}", "true"),
+    ("basic", r"[a-z]+://[^ \t-\r:/@]+:[^ \t-\r:/@]{3,}@[0-9A-Za-z.-]+", "true"),
+)
+
+
 def secret_scan() -> str:
-    from tidemark.llm.secrets import BASE_RULES, MORE_RULES
-
-    parts = []
-    for k, rule in enumerate(BASE_RULES + MORE_RULES):
-        pattern = rule.pattern.replace("'", "''")
-        test = f"regexp_full_match(x, '{rule.keep.replace(chr(39), chr(39) * 2)}')" if rule.keep else "true"
-        parts.append(_spans(rule.kind, k, pattern, test))
-    each = " UNION ALL ".join(parts)
-    base = len(BASE_RULES)
-    counts = ", ".join(f"count(*) FILTER (WHERE k = {i}) AS n_{r.kind}" for i, r in enumerate(BASE_RULES))
+    each = " UNION ALL ".join(_spans(kind, k, pattern, test) for k, (kind, pattern, test) in enumerate(_KINDS))
+    base = [kind for kind, _, _ in _KINDS[:3]]
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {i}) AS n_{kind}" for i, kind in enumerate(base))
     shown = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k)"
-    return f"""WITH f AS ({each}), g AS (SELECT doc_id, {counts}, {shown} FILTER (WHERE k < {base}) AS base, {shown} AS spans FROM f GROUP BY doc_id)
-SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    return f"""WITH f AS ({each}), g AS (SELECT doc_id, {counts}, {shown} FILTER (WHERE k < 3) AS base, {shown} AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{kind}, 0) AS n_{kind}' for kind in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
 
 

@@ -37,7 +37,7 @@ GRAM = 5
 _U = np.uint64
 REACH = WINDOW - 1
 #: Contexts of one stem that are compared in one task.
-HEAVY = 4096
+HEAVY = 1000
 
 
 def gram_starts(words: Words, k: int) -> np.ndarray:
