@@ -32,10 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more); rows without an id stay."""
     groups = near_dup.near_duplicates(docs.select("doc_id", "text"), k=5, threshold=80)
     stay = groups.filter("kept and doc_id is not null").select(F.col("doc_id").alias("stay_id"), F.col("h").alias("stay_h")).distinct()
-    rows = _with_row(docs)
-    named = rows.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    same = (F.col("doc_id").cast("long") == F.col("stay_id")) & (F.xxhash64("text") == F.col("stay_h"))
-    return named.join(stay, same, "left_semi").unionByName(rows.filter("doc_id is null")).select("row.*")
+    rows = _with_row(docs).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "row")
+    named = rows.join(stay, (F.col("id") == F.col("stay_id")) & (F.col("h") == F.col("stay_h")), "left_semi")
+    one = named.groupBy("id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row"))  # of rows repeated with one id and text, by a hash of the row
+    return one.select("row").unionByName(rows.filter("id is null").select("row")).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
