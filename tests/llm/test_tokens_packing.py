@@ -135,3 +135,13 @@ def test_pack_under_binding_limits(spark, odd_docs, rule):
         places.setdefault(r.sequence_id, []).append(r.length)
     assert all(sum(v) <= 64 and len(v) <= 3 and sum(n * n for n in v) <= 64 * 64 for v in places.values())
     assert any(len(v) == 3 and sum(v) < 60 for v in places.values()) and sum(map(sum, places.values())) == sum(len(x) + 1 for x in _ids([r.text for r in odd_docs.collect()]))
+
+
+def test_encoder_with_a_full_cache(monkeypatch):
+    from tidemark.llm import _tokens
+
+    monkeypatch.setattr(_tokens, "CACHE_PIECES", 50)
+    own = _tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"piece{(i * j) % 90} word{j % 30}" for j in range(60)) for i in range(40)]
+    assert [np.frombuffer(x, "<u4").tolist() for s in range(0, 40, 4) for x in own.encode(texts[s : s + 4])] == _ids(texts)
+    assert len(own.cache) <= 50 + 2 * 240 and not own.cache.old or own.cache.old.old == {}

@@ -23,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Pieces in each of the two generations of a worker's cache, and the longest that is cached.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
 CACHED_CHARS = 40
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LETTER, _DIGIT, _WHITE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
@@ -54,9 +54,11 @@ def _latin(text: str) -> bool:
 class Cache(dict):
     """Ids of pieces, made where they are missing; a piece of the generation before (``old``) is not made again."""
 
-    def __init__(self, make, old: dict[str, bytes]):
+    def __init__(self, make, old: Cache | None = None):
         super().__init__()
-        self.make, self.old = make, dict(old)
+        self.make, self.old = make, {} if old is None else old
+        if old is not None:
+            old.old = {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -84,15 +86,19 @@ class Encoder:
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
         if self.pieces and hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # its own cache only costs time behind this one
-        self.cache = Cache(self._piece, {})
+        self.model = self.tokenizer.model
+        self.cache = Cache(self._piece)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
 
     def _piece(self, piece: str) -> bytes:
-        made = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        return b"".join([t.id.to_bytes(4, "little") for t in made])
+        if piece.isascii() and piece.isprintable():  # of these only the space has another stand-in
+            letters = piece.replace(" ", self.letters[0x20])
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
