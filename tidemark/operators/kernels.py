@@ -133,12 +133,12 @@ def atr(h: np.ndarray, low: np.ndarray, c: np.ndarray, n: float) -> np.ndarray:
 
 
 def dmi(h: np.ndarray, low: np.ndarray, c: np.ndarray, n: float) -> tuple[np.ndarray, ...]:
-    """+DI, -DI and ADX by Wilder's sums."""
+    """+DI, -DI, ADX and DX by Wilder's sums."""
     n = int(n)
     size = len(c)
     plus, minus, adx = _empty(size), _empty(size), _empty(size)
     if size <= n:
-        return plus, minus, adx
+        return plus, minus, adx, _empty(size)
     up, dn = np.diff(h), -np.diff(low)
     pdm, mdm = np.where((up > dn) & (up > 0), up, 0), np.where((dn > up) & (dn > 0), dn, 0)
     tr = true_range(h, low, c)[1:]
@@ -152,7 +152,16 @@ def dmi(h: np.ndarray, low: np.ndarray, c: np.ndarray, n: float) -> tuple[np.nda
         dx[i + 1] = 100 * abs(plus[i + 1] - minus[i + 1]) / total if total > 1e-8 else 0.0
     if size > 2 * n - 1:
         adx[n:] = rma(dx[n:], n)
-    return plus, minus, adx
+    return plus, minus, adx, dx
+
+
+def quiet(on: np.ndarray, n: float) -> np.ndarray:
+    """1 where ``on`` fires and did not within the n bars before it passed."""
+    out, last = np.zeros(len(on)), -np.inf
+    for i in np.flatnonzero(on > 0):
+        if i - last >= n:
+            out[i], last = 1, i
+    return out
 
 
 def _rolling(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -303,7 +312,7 @@ def adosc(ad: np.ndarray, fast: float, slow: float) -> np.ndarray:
     return out
 
 
-KERNELS: dict[str, Callable] = {f.__name__: f for f in (ema, rma, sma, dma, dema, tema, trix, rsi, macd, atr, dmi, kdj, sar, kama, nvi, pvi, heikin, supertrend, t3, cmo, adosc)}
+KERNELS: dict[str, Callable] = {f.__name__: f for f in (ema, rma, sma, dma, dema, tema, trix, rsi, macd, atr, dmi, kdj, sar, kama, nvi, pvi, heikin, supertrend, t3, cmo, adosc, quiet)}
 
 
 def apply_kernel(kind: str, inputs: list[np.ndarray], params: tuple[float, ...]) -> tuple[np.ndarray, ...]:
@@ -316,7 +325,7 @@ def apply_kernel(kind: str, inputs: list[np.ndarray], params: tuple[float, ...])
     start = int(first[0]) if len(first) else n
     made = KERNELS[kind](*[x[start:] for x in inputs], *params) if start < n else _empty(0)
     made = made if isinstance(made, tuple) else (made,)
-    return tuple(np.concatenate((_empty(start), m)) for m in made) if start < n else tuple(_empty(n) for _ in range(3))
+    return tuple(np.concatenate((_empty(start), m)) for m in made) if start < n else tuple(_empty(n) for _ in range(4))
 
 
 def run_kernels(df: DataFrame, jobs: list[tuple], keys: list[str]) -> DataFrame:

@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import alpha, candles, library  # noqa: F401  fill the registry
-from tidemark.functions.registry import REGISTRY
-from tidemark.plans import studies
-from tidemark.plans.formula import DUCK, Compiler
+from tidemark.functions import alpha, candles, extra, library  # noqa: F401  fill the registry
+from tidemark.plans import recursions, studies
+from tidemark.plans.formula import DUCK, MARKET, Compiler
 from tidemark.plans.run import eval_formula
 from tidemark.sources.bars import EVENT_BARS_SQL, event_bars
 
@@ -39,6 +38,14 @@ FORMULAS: dict[str, str] = {
     "formula_loops": "S := 0; FOR I = 1 TO 5 DO S := S + REF(C, I) * I; END; X := S; X /= 15; WEIGHTED : X; RAW : S;",
 }
 
+FORMULAS |= {
+    "fn_aliases_lag": "F1 : LOG(C); F2 : CS_POWER(C / 100, 2); F3 : IFF(C > O, H, L); F4 : MATH_AVG(O, C); F5 : SHIFT(C, 2); F6 : REFX(C, 2); F7 : MTM(C, 3); F8 : MOMENTUM(C, 3); F9 : MINUS(C, 3); M3 := MA(C, 3); M9 := MA(C, 9); F10 : CROSSUP(M3, M9); F11 : CROSSOVER(M3, M9); F12 : GOLDEN_CROSS(M3, M9); F13 : BULLISH_CROSS(M3, M9); F14 : EM_CROSS(M3, M9); F15 : CROSSBELOW(M3, M9); F16 : DEAD_CROSS(M3, M9); F17 : BEARISH_CROSS(M3, M9); F18 : RELSTRENGTH(C, O, 5); F19 : RS_EXCESS_RETURN(C, O, 5); F20 : CUM(V); F21 : CONSECUTIVE_LIMIT(C > O);",
+    "fn_aliases_window": "F1 : AVGPRICE_N(C, 5); F2 : TOTALVOL(V, 5); F3 : MAXPRICE(H, 5); F4 : DONCHIAN_UPPER(H, 5); F5 : MINPRICE(L, 5); F6 : MINMAX(L, 5); F7 : DONCHIAN_LOWER(L, 5); F8 : Z_SCORE(C, 20); F9 : BOLLMID(C, 20); F10 : BBANDS_MIDDLE(C, 20); F11 : BBANDS(C, 20, 2); F12 : BOLLINGER(C, 20, 2); F13 : BBANDS_LOWER(C, 20, 2); F14 : DONCHIAN_MID(H, L, 20); F15 : DONCHIAN_MIDDLE(H, L, 20); F16 : TENKAN_SEN(H, L, 9); F17 : ICHIMOKU_TENKAN(H, L, 9); F18 : KIJUN_SEN(H, L, 26); F19 : ICHIMOKU_KIJUN(H, L, 26); F20 : WR(H, L, C, 14); F21 : CHOPPINESS(H, L, C, 14); F22 : VORTEX(H, L, C, 14); F23 : CORR(H, L, 10); F24 : AVGDEV(C, 10); F25 : AROON(H, L, 14); F26 : AROON_DOWN(H, L, 14);",
+    "fn_aliases_screens": "F1 : BREAKOUT_UP(C, H, 20); F2 : PRICE_BREAKOUT(C, H, 20); F3 : BREAKOUT_DOWN(C, L, 20); F4 : PRICE_BREAKDOWN(C, L, 20); F5 : VOLSURGE(V, 10, 1.2); F6 : VOLUME_EXPANSION(V, 10, 1.2); F7 : LINEARREG_SLOPE(C, 14); F8 : FORCAST(C, 14); F9 : FORECAST(C, 14); F10 : LINEAR_REG(C, 14);",
+    "fn_bands_more": "F_ACC : ACCBANDS(H, L, C, 20); F_ACCM : ACCBANDS_MID(H, L, C, 20); F_ACCL : ACCBANDS_LOWER(H, L, C, 20); F_FR : FRACTAL(H, L, 2, 2); F_FRH : FRACTAL_HIGH(H, L, 3, 1); F_FRL : FRACTAL_LOW(H, L); F_PDM : PLUS_DM(H, L); F_MDM : MINUS_DM(H, L); F_CMOU : CMOU(C, 14); F_GAP : GAP_SIGNAL(O, C, 0.01); F_GAPA : GAP(O, C);",
+    "fn_positions": "F_FH : FINDHIGH(H, 9, 4, 1); F_FL : FINDLOW(L, 9, 4, 1); F_BACK : BACKSET(C > 150, 3); F_SINCE : BARSSINCEN(C > 150, 2); F_STATUS : BARSTATUS; F_AT : REFDATE(C, 4); F_TYPE : PERIODTYPE; F_PR : PERCENTRANK(C, 10); F_SORT : SORT(C, 9, 1); F_SORTD : SORT(C, 9, 0); F_PCT : PERCENTILE(C, 11, 30); F_MMI : MINMAXINDEX(C, 10); F_BETA : BETA(C, O, 12);",
+    "fn_flows": "F_RS : RS_RATIO(C, O, 5); F_TURN : TURNOVER(V, H); F_FLOW : MONEY_FLOW(H, L, C, V, 10); F_IND : CS_INDNEUTRALIZE(C, V); F_CAP : CAPITAL; F_IC : INDEXC; F_IO : INDEXO; F_IH : INDEXH; F_IL : INDEXL; F_IV : INDEXV; F_IA : INDEXA; F_BIG : BIGORDER; F_SMALL : SMALLORDER; F_SUPER : SUPERBIGORDER; F_MAIN : MAININFLOW; F_MAINP : MAININFLOWPCT; F_MF : MONEYFLOW; F_NET : NETINFLOW; F_ZL : EM_ZLCCV; F_DK : DKCOL; F_FIN : FINANCE(7); F_DYNA : DYNAINFO(3); F_BA : BLOCKAVG(1); F_BI : BLOCKINDEX(1);",
+}
 FORMULAS["fn_candles_one_bar"] = " ".join(f"F_{p[3:]} : {p}(O, H, L, C);" for p in candles.PATTERNS[:16])
 FORMULAS["fn_candles_more_bars"] = " ".join(f"F_{p[3:]} : {p}(O, H, L, C);" for p in candles.PATTERNS[16:31])
 FORMULAS["fn_candles_long_patterns"] = " ".join(f"F_{p[3:]} : {p}(O, H, L, C);" for p in candles.PATTERNS[31:])
@@ -53,42 +60,54 @@ RECURSIVE: dict[str, str] = {
     "fn_recursive_averages": "F_EMA : EMA(C, 12); F_SMA : SMA(C, 12, 1); F_RMA : RMA(C, 14); F_DMA : DMA(C, V / 100); F_DEMA : DEMA(C, 10); F_TEMA : TEMA(C, 10); F_TRIX : TRIX(C, 9); F_KAMA : KAMA(C, 10);",
     "fn_recursive_oscillators": "F_RSI : RSI(C, 14); F_MACD : MACD(C, 12, 26, 9); F_SIGNAL : MACD_SIGNAL(C, 12, 26, 9); F_HIST : MACD_HIST(C, 12, 26, 9); F_K : KDJ(H, L, C, 9, 3, 3); F_D : KDJ_D(H, L, C, 9, 3, 3); F_J : KDJ_J(H, L, C, 9, 3, 3);",
     "fn_recursive_trend": "F_ATR : ATR(H, L, C, 14); F_ADX : ADX(H, L, C, 14); F_PLUS : PLUS_DI(H, L, C, 14); F_MINUS : MINUS_DI(H, L, C, 14); F_SAR : SAR(H, L, 0.02, 0.2); F_NVI : NVI(C, V); F_PVI : PVI(C, V);",
-    "fn_recursive_more": "F_NATR : NATR(H, L, C, 14); F_ADXR : ADXR(H, L, C, 14); F_ADOSC : ADOSC(H, L, C, V, 3, 10); F_EFI : EFI(C, V, 13); F_ZLEMA : ZLEMA(C, 12); F_MASS : MASS(H, L, 9, 25); F_TSI : TSI(C, 25, 13); F_STOCHRSI : STOCHRSI(C, 14, 14); F_T3 : T3(C, 5, 0.7); F_HO : HEIKIN_OPEN(O, H, L, C); F_HC : HEIKIN_CLOSE(O, H, L, C); F_SUPER : SUPERTREND(H, L, C, 10, 3); F_DIR : SUPERTREND_DIR(H, L, C, 10, 3); F_CMOW : CMO_WILDER(C, 14);",
+    "fn_recursive_more": "F_NATR : NATR(H, L, C, 14); F_ADXR : ADXR(H, L, C, 14); F_ADOSC : ADOSC(H, L, C, V, 3, 10); F_EFI : EFI(C, V, 13); F_ZLEMA : ZLEMA(C, 12); F_MASS : MASS(H, L, 9, 25); F_TSI : TSI(C, 25, 13); F_STOCHRSI : STOCHRSI(C, 14, 14); F_T3 : T3(C, 5, 0.7); F_HO : HEIKIN_OPEN(O, H, L, C); F_HC : HEIKIN_CLOSE(O, H, L, C); F_SUPER : SUPERTREND(H, L, C, 10, 3); F_DIR : SUPERTREND_DIR(H, L, C, 10, 3); F_CMOW : CMO_WILDER(C, 14); F_ST : SUPERTREND_LINE(H, L, C, 10, 3); F_TB : TREND_BREAKOUT(H, L, C, V, 5, 20, 10, 10, 1.2); F_TS : TREND_SCREEN(H, L, C, V, 5, 20, 10, 10); F_BS : BREAKOUT_SCREEN(H, L, C, V, 5, 20, 10, 10);",
+    "fn_recursive_aliases": "F_E1 : EXPMA(C, 12); F_E2 : EXPMEMA(C, 12); F_M1 : MACD_DIF(C, 12, 26, 9); F_M2 : MACD_DEA(C, 12, 26, 9); F_K : KDJ_K(H, L, C, 9, 3, 3); F_AD : ADOSC_OF_AD(AD(H, L, C, V), 3, 10); F_DIFF : DIFF(C, 12, 26); F_ERI : ERI(H, L, C, 13); F_ERIB : ERI_BULL(H, L, C, 13); F_ERIR : ERI_BEAR(H, L, C, 13); F_PVO : PVO(V, 12, 26); F_CVI : CVI(H, L, 10, 10); F_MASSI : MASSI(H, L, 9, 25); F_ALIGN : MA_ALIGN(C, 5, 10, 20); F_ALIGN2 : MA_ALIGNMENT(C, 5, 10, 20); F_ALIGN3 : TREND_ALIGN(C, 5, 10, 20);",
+    "fn_recursive_movement": "F_KC : KC(H, L, C, 20, 10, 2); F_KCM : KC_MID(H, L, C, 20, 10); F_KCL : KC_LOWER(H, L, C, 20, 10, 2); F_DMI : DMI(H, L, C, 14); F_PDI : PDI(H, L, C, 14); F_MDI : MDI(H, L, C, 14); F_DX : DX(H, L, C, 14); F_KD : KD(H, L, C, 9, 3, 3); F_HA : HA(O, H, L, C); F_HAC : HA_CLOSE(O, H, L, C); F_HAS : HEIKIN_ASHI(O, H, L, C); F_HAO : HA_OPEN(O, H, L, C); F_HAH : HA_HIGH(O, H, L, C); F_HAL : HA_LOW(O, H, L, C); F_SMI : SMI(H, L, C); F_SMIS : SMI_SIGNAL(H, L, C); F_FILTER : FILTER(C > O, 5);",
     "formula_recursive_nested": "DIF := EMA(C, 12) - EMA(C, 26); DEA := EMA(DIF, 9); BAR : 2 * (DIF - DEA); GOLD : CROSS(DIF, DEA); SMOOTH : MA(RSI(C, 6), 5);",
 }
 
 
 #: Decimals of the results where six are not right for the size of the values.
-DIGITS = {"fn_volume": 3}
+DIGITS = {"fn_volume": 3, "fn_flows": 3}
+#: Queries over bars with host columns.
+HOSTED = {"fn_flows"}
+
+
+#: Host columns that the queries of host series put beside the bars, as SQL of the bars.
+HOST_COLUMNS = {
+    "index_open": "open * 2", "index_high": "high * 2", "index_low": "low * 2", "index_close": "close * 2", "index_volume": "volume * 3", "index_amount": "volume * close", "capital": "1000", "bigorder": "volume / 4",
+    "smallorder": "volume / 8", "superbigorder": "volume / 16", "maininflow": "volume - 2", "maininflowpct": "volume / 100", "moneyflow": "volume * 5", "netinflow": "volume - 7", "em_zlccv": "close + 1",
+    "buyvol": "volume * 2", "sellvol": "volume", "finance_7": "volume + 7", "dynainfo_3": "open", "blockavg_1": "close * 3", "blockindex_1": "close * 4",
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _formula(FORMULAS["formula_moving_average_cross"])(spark, sf_dir)
 
 
-def _formula(source: str, digits: int = 6) -> Callable[[SparkSession, str], DataFrame]:
+def _formula(source: str, digits: int = 6, host: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return eval_formula(event_bars(spark, sf_dir), source, digits=digits).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        bars = event_bars(spark, sf_dir)
+        if host:
+            bars = bars.selectExpr("*", *[f"{text} AS {name}" for name, text in HOST_COLUMNS.items()])
+        return eval_formula(bars, source, digits=digits).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
     return run
 
 
-def _formula_sql(source: str, digits: int = 6) -> str:
-    c = Compiler(dialect=DUCK).compile(source)
-    return c.sql(EVENT_BARS_SQL, c.finish(digits=digits))
-
-
-def registry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The function registry as rows: name, kind, arguments, causal."""
-    rows = [(f.name, f.kind, f.least, f.most, f.causal) for f in REGISTRY.values()]
-    return spark.createDataFrame(rows, "name string, kind string, least int, most int, causal boolean")
+def _formula_sql(source: str, digits: int = 6, host: bool = False) -> str:
+    if not host:
+        c = Compiler(dialect=DUCK).compile(source)
+        return c.sql(EVENT_BARS_SQL, c.finish(digits=digits))
+    c = Compiler({*MARKET.values(), *HOST_COLUMNS}, dialect=DUCK).compile(source)
+    more = ", ".join(f"{text} AS {name}" for name, text in HOST_COLUMNS.items())
+    return c.sql(f"SELECT *, {more} FROM ({EVENT_BARS_SQL})", c.finish(digits=digits))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: _formula(source, DIGITS.get(name, 6)) for name, source in (FORMULAS | RECURSIVE).items()}
-    out["function_registry"] = registry_table
+    out = {name: _formula(source, DIGITS.get(name, 6), name in HOSTED) for name, source in (FORMULAS | RECURSIVE).items()}
     return out | studies.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _formula_sql(source, DIGITS.get(name, 6)) for name, source in FORMULAS.items()} | studies.oracle_sql()
+    return {name: _formula_sql(source, DIGITS.get(name, 6), name in HOSTED) for name, source in FORMULAS.items()} | recursions.oracle_sql() | studies.oracle_sql()

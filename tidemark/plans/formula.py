@@ -221,6 +221,10 @@ class Expr:
 SPARK, DUCK = "spark", "duck"
 
 
+def rounded(text: str, digits: int) -> str:
+    return f"CASE WHEN abs({text}) < 9e{18 - digits} THEN floor(({text}) * 1e{digits} + 0.3e0) / 1e{digits} ELSE {text} END"
+
+
 class Compiler:
     """Turns trees into staged projections for one dialect."""
 
@@ -398,10 +402,11 @@ class Compiler:
         """Materialises the outputs and returns the final projection's text.
 
         With ``digits``, outputs are rounded so that engines agree: up from 0.7 of the last decimal and not
-        from its half, where finite decimals such as means of prices often lie.
+        from its half, where finite decimals such as means of prices often lie. Values too large for a long
+        of that many decimals stay as they are.
         """
         cols = {k: (v if v.const is not None else self.col(v)) for k, v in self.outputs.items()}
-        shown = [f"floor(({v.text}) * 1e{digits} + 0.3e0) / 1e{digits} AS {k.lower()}" if digits is not None else f"{v.text} AS {k.lower()}" for k, v in cols.items()]
+        shown = [f"{rounded(v.text, digits)} AS {k.lower()}" if digits is not None else f"{v.text} AS {k.lower()}" for k, v in cols.items()]
         return ", ".join([*keep, *shown])
 
     def sql(self, base: str, final: str) -> str:

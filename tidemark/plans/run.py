@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import candles, library  # noqa: F401  fill the registry
+from tidemark.functions import candles, extra, library  # noqa: F401  fill the registry
 from tidemark.operators.kernels import run_kernels
 from tidemark.plans.formula import Compiler
 
