@@ -116,3 +116,29 @@ def test_host_columns(series):
     same(values(series, "FINANCE(7)"), [x + 1 for x in v])
     same(values(series, "CAPITAL"), [None] * 60)
     same(values(series, "PERIODTYPE"), [0] * 60)
+
+
+def test_vwap_factor_reads_the_column(series):
+    bars, rows = series
+    with_vwap = bars.withColumn("vwap", bars.close * 1.5)
+    same(values((with_vwap, rows), "BARVWAP / C"), [1.5] * 60)
+    same(values(series, "BARVWAP / C"), [(h + low + c) / 3 / c for _, h, low, c, _ in rows])
+
+
+def test_csv_columns_go_by_whole_words(spark, tmp_path):
+    from tidemark.sources import bars as sources
+
+    (tmp_path / "a.csv").write_text("contracts,open_interest,Open,High,Low,cashflow,AdjClose,Vol\n" + "\n".join(f"x,9,{i},{i + 2},{i - 1},7,{i + 1},5" for i in range(30)) + "\n")
+    got = sources.read_ohlcv_csv(spark, str(tmp_path / "a.csv"), "s").orderBy("ts").collect()
+    assert [(r.ts.timestamp(), r.open, r.low, r.close, r.volume) for r in got[:2]] == [(got[0].ts.timestamp(), 0, -1, 1, 5), (got[0].ts.timestamp() + 1, 1, 0, 2, 5)]
+    numbered = sources.number_rows(spark.range(0, 100, numPartitions=7).toDF("x"), "n").orderBy("x").collect()
+    assert [r.n for r in numbered] == list(range(100))
+
+
+def test_resample_refuses_two_timeframes(series):
+    from tidemark.sources import bars as sources
+
+    bars = series[0]
+    assert sources.resample(bars, "7 days", "W1").count() in (9, 10)
+    with pytest.raises(Exception, match="two timeframes"):
+        sources.resample(bars.unionByName(bars.selectExpr(*[f"'H1' as {c}" if c == "timeframe" else c for c in bars.columns])), "7 days", "W1").collect()

@@ -18,7 +18,7 @@ FIXED = {
     "OPEN0": "O / C",
     "HIGH0": "H / C",
     "LOW0": "L / C",
-    "VWAP0": "TYPPRICE(H, L, C) / C",
+    "VWAP0": "BARVWAP / C",
 }
 
 #: Families by window n.
@@ -91,5 +91,5 @@ ALPHA101 = {
 
 def alpha101(numbers: tuple[int, ...] = tuple(ALPHA101)) -> str:
     """Some of the alphas as one formula, an output each."""
-    shared = "D := C - REF(C, 1); VW := VWAP(H, L, C, V); BEND := (REF(C, 20) - REF(C, 10)) / 10 - (REF(C, 10) - C) / 10; "
+    shared = "D := C - REF(C, 1); VW := BARVWAP; BEND := (REF(C, 20) - REF(C, 10)) / 10 - (REF(C, 10) - C) / 10; "
     return shared + " ".join(f"ALPHA{n} : {ALPHA101[n]};" for n in numbers)

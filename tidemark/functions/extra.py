@@ -368,3 +368,11 @@ for _name in ("FINANCE", "DYNAINFO", "BLOCKAVG", "BLOCKINDEX"):
 def _dkcol(c):
     a, b = _host_column(c, "buyvol"), _host_column(c, "sellvol")
     return c.col(c.join(f"{a.text} - {b.text}", a, b))
+
+
+@function("BARVWAP", "E", 0)
+def _barvwap(c):
+    """The volume-weighted price of each bar: the column vwap, or the typical price where the bars have none."""
+    if "vwap" in c.columns:
+        return c.col(_host_column(c, "vwap"))
+    return c.col(c.call("TYPPRICE", [c.name("H"), c.name("L"), c.name("C")]))
