@@ -39,12 +39,14 @@ class Store:
         self.spark = spark
         small_batches(spark)
         self.root = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+        self.tables: set[str] = set()
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def put(self, table: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(table))
+        self.tables.add(table)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def folder(self, name: str) -> str:
@@ -57,9 +59,14 @@ class Store:
         """Removes tables that nothing lazy reads any more."""
         jvm = self.spark._jvm
         for table in tables:
+            self.tables.discard(table)
             target = jvm.org.apache.hadoop.fs.Path(self.path(table))
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
+    def keep_only(self, *tables: str) -> None:
+        """Removes all other tables: what an operator returns must not read them."""
+        self.drop(*sorted(self.tables - set(tables)))
+
     def release(self) -> None:
         """Lets go of finished shuffles: their files stay until the driver collects the handles, which it does not do of itself while its heap is roomy."""
         gc.collect()

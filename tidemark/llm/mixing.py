@@ -103,6 +103,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, store: Store | None
     last = inside.filter("upto > rest").select("s", "own", "size", "rest").join(cut.select("s", "met"), "s").withColumn("gap", F.col("rest") - F.col("met"))
     last = last.filter("abs(size - gap) < gap").groupBy("s").agg(F.min_by("own", F.struct(F.abs(F.col("size") - F.col("gap")), "own")).alias("last"))
     edge = store.put("edge", cut.drop("met").join(last, "s", "left"))
+    store.keep_only("rows", "plan", "edge")
     out = every.join(edge, "s", "left")
     inside_cut = F.coalesce(own <= F.col("cut"), F.lit(False)) | F.coalesce(own == F.col("last"), F.lit(False))
     taken = (F.col("rest") > 0) & ((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & inside_cut))

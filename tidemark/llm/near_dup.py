@@ -286,6 +286,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
             return df.withColumn("label", F.col("node"))
         return df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
+    last = ""  # the table of the labels
     stale = False  # a 'best' turn gave no new pairs, so another one would pick the same
     for turn, mode in enumerate(("star", "best", "best", "all")):
         if mode == "best" and stale:
@@ -334,13 +335,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
                 .distinct()
             )
         found = components(store, f"cc{turn}", ends)
+        last = f"labels{turn}"
         if labels is None:
-            labels = store.put(f"labels{turn}", found.filter("node <> label"))
+            labels = store.put(last, found.filter("node <> label"))
         else:
             moved = found.toDF("label", "to")
             old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
             fresh = found.join(labels, "node", "left_anti").select("node", "label")
-            labels = store.put(f"labels{turn}", old.union(fresh).filter("node <> label"))
+            labels = store.put(last, old.union(fresh).filter("node <> label"))
+    store.keep_only("signed", "classes", last)
     out = signed.select("doc_id", "h", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
     out = out.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
     out = labelled(out).select("doc_id", "h", "n_shingles", F.col("label").alias("component_id"))

@@ -243,6 +243,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) ->
     if any(q is not None for q in queries):
         index = store.put("index", build_index(rows.select("slot", "row.text")).sortWithinPartitions("bucket", "run"))
         found = store.put("candidates", candidates(index, queries))
+        store.drop("index")
         if found.count() * (8 * len(rules) + 32) <= BROADCAST:
             found = F.broadcast(found)
         rows = rows.join(found, F.expr(f"slot div {RUN}") == F.col("run"), "left")
