@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -59,32 +60,31 @@ class Group:
 
 def plan_bins(histogram: dict[int, int], limits: Limits) -> list[Group]:
     """Groups of bins with every length's ranks assigned. Raises if a single piece breaks a constraint."""
-    cap = limits.capacity()
-    weight = limits.weights
-
-    def need(n: int) -> tuple[int, int, int]:
-        return n, 1, n * n
+    cap = c0, c1, c2 = limits.capacity()
+    w0, w1, w2 = limits.weights
 
     def fits(left, n):
-        return all(a >= b for a, b in zip(left, need(n), strict=True))
+        return left[0] >= n and left[1] >= 1 and left[2] >= n * n
 
-    def score(left, n):
+    def scorer(n: int):
+        """The score of a bin with ``left`` for pieces of n tokens; the least wins."""
         if limits.rule == "dot":
-            return -sum(w * (b / c) * (a / c) for w, a, b, c in zip(weight, left, need(n), cap, strict=True))
-        return sum(w * ((a - b) / c) ** 2 for w, a, b, c in zip(weight, left, need(n), cap, strict=True))
+            k0, k1, k2 = w0 * (n / c0), w1 * (1 / c1), w2 * (n * n / c2)
+            return lambda left: -(k0 * (left[0] / c0) + k1 * (left[1] / c1) + k2 * (left[2] / c2))
+        return lambda left: w0 * ((left[0] - n) / c0) ** 2 + w1 * ((left[1] - 1) / c1) ** 2 + w2 * ((left[2] - n * n) / c2) ** 2
 
     def less(left, n):
-        return tuple(a - b for a, b in zip(left, need(n), strict=True))
+        return left[0] - n, left[1] - 1, left[2] - n * n
 
     groups: list[Group] = []
     closed: list[Group] = []
     smallest = min(histogram, default=0)
     for n in sorted(histogram, reverse=True):
-        todo, rank = histogram[n], 0
+        todo, rank, score = histogram[n], 0, scorer(n)
         if not fits(cap, n):
             raise ValueError(f"a piece of {n} tokens breaks a constraint")
         while todo:
-            order = sorted((score(g.left, n), i) for i, g in enumerate(groups) if fits(g.left, n))
+            order = nsmallest(2, [(score(g.left), i) for i, g in enumerate(groups) if fits(g.left, n)])
             if order:
                 best = groups[order[0][1]]
                 rival = order[1][0] if len(order) > 1 else None
@@ -93,7 +93,7 @@ def plan_bins(histogram: dict[int, int], limits: Limits) -> list[Group]:
                 groups.append(best)
                 rival = None
             copies, left = 0, best.left
-            while fits(left, n) and (copies == 0 or not order or score(left, n) <= min(score(best.left, n), rival if rival is not None else np.inf)):
+            while fits(left, n) and (copies == 0 or not order or score(left) <= min(score(best.left), rival if rival is not None else np.inf)):
                 left, copies = less(left, n), copies + 1
             bins = min(best.count, todo // copies)
             if not bins:  # fewer than one bin's copies are left: one bin takes them
