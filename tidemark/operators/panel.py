@@ -16,13 +16,22 @@ def dated(panel: DataFrame) -> DataFrame:
     return panel.join(dates, "date")
 
 
-def forward_returns(panel: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
-    """Adds fwd_<h>: price h dates later over price, less 1. One window over the asset's dates."""
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as IEEE arithmetic has it: infinity or NaN where b is 0, for Spark's own division gives NULL or an error there."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+
+
+def forward_returns(panel: DataFrame, horizons: tuple[int, ...], ieee: bool = False) -> DataFrame:
+    """Adds fwd_<h>: price h dates later over price, less 1. One window over the asset's dates.
+
+    A price of 0 has no return, or with ``ieee`` the infinity or NaN of the plain division.
+    """
     by = Window.partitionBy("asset").orderBy("d")
     out = panel
     for h in horizons:
         later = F.max("price").over(by.rangeBetween(h, h))
-        out = out.withColumn(f"fwd_{h}", F.when(F.abs("price") > 1e-15, later / F.col("price") - 1))
+        value = ratio(later, F.col("price")) - 1 if ieee else F.when(F.abs("price") > 1e-15, later / F.col("price") - 1)
+        out = out.withColumn(f"fwd_{h}", value)
     return out
 
 
