@@ -82,3 +82,15 @@ def test_the_operator_leaves_a_price_of_zero_without_a_return(spark):
     rows = spark.createDataFrame([(1, 7, 0.0), (2, 7, 3.0)], "d int, asset int, price double")
     assert [r.fwd_1 for r in panel.forward_returns(rows, (1,)).orderBy("d").collect()] == [None, None]
     assert [r.fwd_1 for r in panel.forward_returns(rows, (1,), ieee=True).orderBy("d").collect()] == [math.inf, None]
+
+
+def test_coefficients_of_infinite_returns_and_without_variance(spark, zeros):
+    got = compare(spark, zeros, "panel_information_coefficients", ("date",))
+    assert got["2024-01-02",]["n"] == 40 and math.isnan(got["2024-01-02",]["ic"]) and got["2024-01-02",]["rank_ic"] is not None
+    assert math.isnan(got["2024-01-04",]["ic"]) and got["2024-01-07",]["ic"] is None
+
+
+def test_coefficients_of_one_value_are_missing_and_no_error(spark):
+    rows = panel.dated(spark.createDataFrame([(T0.date(), a, 5.0, float(a)) for a in range(4)] + [(T0.date() + timedelta(days=1), a, 5.0, 1.0) for a in range(4)], "date date, asset int, factor double, fwd_1 double"))
+    assert [(r.n, r.ic, r.rank_ic) for r in panel.information_coefficients(rows, "fwd_1").collect()] == [(4, None, None)] * 2
+    assert [r.autocorrelation for r in panel.rank_autocorrelation(rows).collect()] == [None]

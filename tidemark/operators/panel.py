@@ -54,15 +54,21 @@ def with_quantiles(panel: DataFrame, q: int, factor: str = "factor") -> DataFram
     return ranked.withColumn("quantile", F.least(F.floor(F.col("pct") * q) + 1, F.lit(q)).cast("int")).drop("pct")
 
 
-def information_coefficients(panel: DataFrame, returns: str, factor: str = "factor") -> DataFrame:
-    """By date: n, ic (Pearson) and rank_ic (Spearman) over rows with both values; NULL without variance or under three rows."""
-    both = panel.filter(F.col(factor).isNotNull() & F.col(returns).isNotNull())
-    ranked = both.withColumn("rx", average_rank(factor, "date")).withColumn("ry", average_rank(returns, "date"))
+def correlation(a: str, b: str, least: int = 3, ieee: bool = False) -> Column:
+    """Pearson's coefficient as an aggregate; NULL without variance (with ``ieee`` NaN there) or under ``least`` rows. Spark's own fails without variance."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    enough = F.count("*") >= least
+    if ieee:
+        return F.when(enough, F.when(spread == 0, F.lit(float("nan"))).otherwise(F.covar_pop(a, b) / spread))
+    return F.when(enough & (F.var_pop(a) > 1e-15) & (F.var_pop(b) > 1e-15), F.covar_pop(a, b) / spread)
 
-    def corr(a: str, b: str) -> Column:
-        return F.when((F.count("*") >= 3) & (F.var_pop(a) > 1e-15) & (F.var_pop(b) > 1e-15), F.corr(a, b))
 
-    return ranked.groupBy("date").agg(F.count("*").alias("n"), corr(factor, returns).alias("ic"), corr("rx", "ry").alias("rank_ic"))
+def information_coefficients(panel: DataFrame, returns: str, factor: str = "factor", least: int = 3, ieee: bool = False) -> DataFrame:
+    """By date: n, ic (Pearson) and rank_ic (Spearman) over rows with both values; see ``correlation`` for dates without variance or of few rows."""
+    both = panel.filter(F.col(factor).isNotNull() & F.col(returns).isNotNull())
+    ranked = both.withColumn("rx", average_rank(factor, "date")).withColumn("ry", average_rank(returns, "date"))
+    ic, rank_ic = correlation(factor, returns, least, ieee), correlation("rx", "ry", least, ieee)
+    return ranked.groupBy("date").agg(F.count("*").alias("n"), ic.alias("ic"), rank_ic.alias("rank_ic"))
 
 
 def ic_summary(ics: DataFrame) -> DataFrame:
@@ -95,8 +101,7 @@ def rank_autocorrelation(panel: DataFrame, lag: int = 1, factor: str = "factor")
     ranked = panel.withColumn("r", average_rank(factor, "date"))
     before = F.max("r").over(Window.partitionBy("asset").orderBy("d").rangeBetween(-lag, -lag))
     both = ranked.withColumn("r0", before).filter("r is not null and r0 is not null")
-    ok = (F.count("*") >= 3) & (F.var_pop("r") > 1e-15) & (F.var_pop("r0") > 1e-15)
-    return both.groupBy("date").agg(F.when(ok, F.corr("r", "r0")).alias("autocorrelation"))
+    return both.groupBy("date").agg(correlation("r", "r0").alias("autocorrelation"))
 
 
 def factor_weights(panel: DataFrame, factor: str = "factor", group: str | None = None) -> DataFrame:
