@@ -94,3 +94,17 @@ def test_coefficients_of_one_value_are_missing_and_no_error(spark):
     rows = panel.dated(spark.createDataFrame([(T0.date(), a, 5.0, float(a)) for a in range(4)] + [(T0.date() + timedelta(days=1), a, 5.0, 1.0) for a in range(4)], "date date, asset int, factor double, fwd_1 double"))
     assert [(r.n, r.ic, r.rank_ic) for r in panel.information_coefficients(rows, "fwd_1").collect()] == [(4, None, None)] * 2
     assert [r.autocorrelation for r in panel.rank_autocorrelation(rows).collect()] == [None]
+
+
+def test_summary_of_infinite_returns(spark, zeros):
+    (row,) = compare(spark, zeros, "panel_ic_summary", ()).values()
+    assert math.isnan(row["ic_mean"]) and row["ic_hit"] > 0
+
+
+def test_summary_of_dates_of_two_rows(spark, tmp_path):
+    """Both dates have the coefficient 1 or -1, so a deviation of 0 or not, and a third has none."""
+    values = {(u, d): [v] for u, vs in enumerate(([1.0, 2.0, 3.0, 9.0], [2.0, 8.0, 4.0, 8.0])) for d, v in enumerate(vs)}
+    compare(spark, write(spark, tmp_path, values), "panel_ic_summary", ())
+    flat = {(u, d): [v] for u, vs in enumerate(([1.0, 2.0, 3.0], [2.0, 8.0, 24.0])) for d, v in enumerate(vs)}
+    (row,) = compare(spark, write(spark, tmp_path, flat), "panel_ic_summary", ()).values()
+    assert (row["ic_mean"], row["ic_std"], row["ic_ir"]) == (1.0, 0.0, math.inf)

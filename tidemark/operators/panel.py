@@ -71,12 +71,13 @@ def information_coefficients(panel: DataFrame, returns: str, factor: str = "fact
     return ranked.groupBy("date").agg(F.count("*").alias("n"), ic.alias("ic"), rank_ic.alias("rank_ic"))
 
 
-def ic_summary(ics: DataFrame) -> DataFrame:
-    """Mean, sample deviation, ratio and t statistic of the coefficients."""
+def ic_summary(ics: DataFrame, ieee: bool = False) -> DataFrame:
+    """Mean, sample deviation, ratio and t statistic of the coefficients; without deviation no ratio, or with ``ieee`` that of the plain division."""
     parts = []
     for c in ("ic", "rank_ic"):
         m, s, n = F.avg(c), F.stddev_samp(c), F.count(c)
-        parts += [m.alias(f"{c}_mean"), s.alias(f"{c}_std"), F.when(s > 1e-15, m / s).alias(f"{c}_ir"), F.when(s > 1e-15, m / s * F.sqrt(n)).alias(f"{c}_t"), F.avg((F.col(c) > 0).cast("double")).alias(f"{c}_hit")]
+        ir = ratio(m, s) if ieee else F.when(s > 1e-15, m / s)
+        parts += [m.alias(f"{c}_mean"), s.alias(f"{c}_std"), ir.alias(f"{c}_ir"), (ir * F.sqrt(n)).alias(f"{c}_t"), F.avg((F.col(c) > 0).cast("double")).alias(f"{c}_hit")]
     return ics.agg(*parts)
 
 
