@@ -108,3 +108,9 @@ def test_summary_of_dates_of_two_rows(spark, tmp_path):
     flat = {(u, d): [v] for u, vs in enumerate(([1.0, 2.0, 3.0], [2.0, 8.0, 24.0])) for d, v in enumerate(vs)}
     (row,) = compare(spark, write(spark, tmp_path, flat), "panel_ic_summary", ()).values()
     assert (row["ic_mean"], row["ic_std"], row["ic_ir"]) == (1.0, 0.0, math.inf)
+
+
+def test_portfolio_of_infinite_returns_and_without_a_gross_sum(spark, zeros):
+    got = compare(spark, zeros, "panel_portfolio", ("date",))
+    assert not math.isfinite(got["2024-01-02",]["portfolio_return"])
+    assert math.isnan(got["2024-01-08",]["portfolio_return"]) and got["2024-01-08",]["group_neutral_return"] == 0.0

@@ -105,8 +105,11 @@ def rank_autocorrelation(panel: DataFrame, lag: int = 1, factor: str = "factor")
     return both.groupBy("date").agg(correlation("r", "r0").alias("autocorrelation"))
 
 
-def factor_weights(panel: DataFrame, factor: str = "factor", group: str | None = None) -> DataFrame:
-    """Adds weight: the factor less its mean (by group if given), over the date's gross sum; NULL weighs 0."""
+def factor_weights(panel: DataFrame, factor: str = "factor", group: str | None = None, ieee: bool = False) -> DataFrame:
+    """Adds weight: the factor less its mean (by group if given), over the date's gross sum; NULL weighs 0.
+
+    Without a gross sum all weigh 0, or with ``ieee`` the NaN of the plain division.
+    """
     by = Window.partitionBy("date", *([group] if group else []))
     centred = F.col(factor) - F.avg(factor).over(by)
     if group:
@@ -115,7 +118,8 @@ def factor_weights(panel: DataFrame, factor: str = "factor", group: str | None =
     else:
         rows = panel.withColumn("centred", centred)
     gross = F.sum(F.abs("centred")).over(Window.partitionBy("date"))
-    return rows.withColumn("weight", F.coalesce(F.when(gross > 1e-15, F.col("centred") / gross), F.lit(0.0))).drop("centred")
+    share = ratio(F.col("centred"), gross) if ieee else F.when(gross > 1e-15, F.col("centred") / gross)
+    return rows.withColumn("weight", F.coalesce(share, F.lit(0.0))).drop("centred")
 
 
 def portfolio_returns(panel: DataFrame, returns: str) -> DataFrame:
